@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.langid import op5_compression_language
+from palimpsest.llm.packing import op4_nnls_packing
+from palimpsest.llm.quality import op10_additive_quality
 from palimpsest.llm.repair import op1_repair_token_files
 
-QUERIES = {"op1_repair_token_files": op1_repair_token_files}
+QUERIES = {f.__name__: f for f in (op1_repair_token_files, op4_nnls_packing, op5_compression_language, op10_additive_quality)}
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -48,88 +49,80 @@ def bucket_of(column, modulus: int):
     return F.crc32(column.cast("string")) % modulus
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class Pieces(dict):
     """Ids of white-space separated chunks, encoded on first use.
 
     The tokenizer drops white space and never joins text across it, so a text's ids are
-    its chunks' ids in order. A chunk of letters alone is one word to the tokenizer, and
-    only a word's last id is that of a piece with an end mark: all new words of some texts
-    are encoded by one call and told apart by these marks. Bounded: it is emptied when
-    ``limit`` chunks are held.
+    its chunks' ids in order. A chunk of Latin letters alone is one word to the tokenizer,
+    and its model is asked for it directly; marks after it are a word of their own.
+    Bounded: it is emptied when ``limit`` chunks are held.
     """
 
     #: Python's split() cuts at these four, the tokenizer doesn't take them for white space.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     #: Runs of these after a word are a word of their own.
     MARKS = ".,;:!?*#$%&|)(\"-"
-    #: Characters of text that are split at once.
-    AT_ONCE = 1 << 20
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
         self.limit = limit
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.letters = byte_letters()
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def word(self, core: str) -> bytes:
+        """Ids of a chunk of letters."""
+        if core.isascii():
+            written = low = core.lower()
+        else:
+            low = self.normalize(core)
+            if max(low, default="") > "\u024f" or not low.isalpha():  # may be more than a word to the tokenizer
+                return self.plain(core)
+            written = "".join(map(self.letters.__getitem__, low.encode()))
+        if low != core:
+            return self[low]
+        return array(self.code, [t.id for t in self.split(written)]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.plain(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
+        if len(chunk) > 64:
+            return self.plain(chunk)
+        if chunk.isalpha():
+            ids = self.word(chunk)
+        elif (core := chunk.rstrip(self.MARKS)).isalpha():
+            ids = self[core] + self[chunk[len(core) :]]
+        else:
+            ids = self.plain(chunk)
+        if len(self) >= self.limit:
+            self.clear()
+        self[chunk] = ids
         return ids
 
-    def learn(self, chunks: set[str]) -> None:
-        """Hold the ids of these chunks, as far as they are words with marks after them."""
-        if len(self) + len(chunks) > self.limit:
-            self.clear()
-        cores = {}
-        for chunk in chunks:
-            core = chunk if chunk.isalpha() else chunk.rstrip(self.MARKS)
-            if len(chunk) <= 64 and core.isalpha():
-                cores[chunk] = core.lower() if core.isascii() else core
-        words = list({w for w in cores.values() if w not in self})
-        if words:
-            ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(words) and ends[-1] == len(ids):
-                data, w = ids.tobytes(), self.dtype.itemsize
-                a = 0
-                for word, b in zip(words, (ends * w).tolist(), strict=True):
-                    self[word] = data[a:b]
-                    a = b
-        for chunk, core in cores.items():
-            self[chunk] = self[core] + self[chunk[len(core) :]] if len(chunk) > len(core) else self[core]
-
-    def encode_many(self, texts: Iterable[str | None | pa.StringScalar]) -> Iterator[bytes]:
-        """Each text's ids as little-endian integers of ``dtype``; null is empty."""
-        held: list[list[str] | bytes] = []
-        size = 0
+    def encode(self, text: str | None) -> bytes:
+        """The text's ids as little-endian integers of ``dtype``; null is empty."""
+        if not text:
+            return b""
+        if any(c in text for c in self.ODD):
+            return self.plain(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def encode_many(self, texts: Iterable[pa.StringScalar]) -> Iterator[bytes]:
         for text in texts:
-            text = (text.as_py() if isinstance(text, pa.Scalar) else text) or ""
-            odd = any(c in text for c in self.ODD)
-            held.append(self.plain(text) if odd else text.split())
-            size += len(text)
-            if size >= self.AT_ONCE:
-                yield from self._encoded(held)
-                held, size = [], 0
-        yield from self._encoded(held)
-
-    def _encoded(self, held: list[list[str] | bytes]) -> Iterator[bytes]:
-        found = [list(map(self.get, x)) if isinstance(x, list) else x for x in held]
-        lacking = [(x, got) for x, got in zip(held, found, strict=True) if isinstance(got, list) and None in got]
-        if lacking:
-            self.learn({w for x, got in lacking for w, ids in zip(x, got, strict=True) if ids is None})
-            for x, got in lacking:
-                got[:] = [self[w] if ids is None else ids for w, ids in zip(x, got, strict=True)]
-        for got in found:
-            yield got if isinstance(got, bytes) else b"".join(got)
+            yield self.encode(text.as_py())
 
 
 @lru_cache(maxsize=4)

@@ -104,17 +104,24 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """All terminals of ``symbols``: one level of rules at a time."""
-    current = symbols.astype(np.uint32)
-    while len(rules) and (deep := current >= first).any():
-        width = np.where(deep, 2, 1)
-        ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), np.uint32)
-        out[(ends - width)[~deep]] = current[~deep]
-        pair = rules[current[deep] - np.uint32(first)]
-        out[(ends - 2)[deep]], out[(ends - 1)[deep]] = pair[:, 0], pair[:, 1]
-        current = out
-    return current
+    """All terminals of ``symbols``: the rules are spelt out once, then copied to where they stand."""
+    symbols = symbols.astype(np.uint32)
+    deep = symbols >= first
+    if not len(rules) or not deep.any():
+        return symbols
+    spelt: list[bytes] = []
+    side = lambda x: spelt[x - first] if x >= first else x.to_bytes(4, "little")
+    for a, b in rules.tolist():
+        spelt.append(side(a) + side(b))
+    lengths = np.array([len(x) >> 2 for x in spelt], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    text = np.concatenate([np.frombuffer(b"".join(spelt), "<u4"), symbols[~deep]])
+    rule = symbols[deep] - np.uint32(first)
+    size, begin = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    size[deep], begin[deep] = lengths[rule], starts[rule]
+    begin[~deep] = len(text) - int((~deep).sum()) + np.arange(int((~deep).sum()))
+    ends = np.cumsum(size)
+    return text[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))].astype(np.uint32)
 
 
 def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:

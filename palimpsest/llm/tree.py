@@ -8,6 +8,9 @@ nodes by distance to their centres. How many it visits is found on the sample: t
 widen until the mean recall of held-out queries reaches TARGET. Sample neighbours lie
 farther apart than those among all rows, so the figure errs to the safe side.
 
+The visits widen in two steps: the k-th best score in a query's first leaves bounds the
+result from below, and of the other leaves only what reaches it is passed on.
+
 Leaves with many rows are cut into parts, and the queries that visit one into chunks; both
 sides of every part fit in memory however many rows share a vector.
 """
@@ -37,6 +40,8 @@ BRANCHES = 8
 TARGET = 0.96
 TRIALS = 400
 PART_ROWS = 1024
+#: Leaves of the first step.
+FIRST_LEAVES = 4
 QUERY_CHUNK = 1024
 
 
@@ -151,15 +156,16 @@ def lengthened(x: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0.0))])
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's ``k`` best rows with another id, ties by smaller id."""
+def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of each query's ``k`` best rows with another id that reach its ``least`` score, ties by smaller id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rough = q @ x.T
-    for i, own in enumerate(query.tolist()):
+    for i, (own, bound) in enumerate(zip(query.tolist(), least.tolist(), strict=True)):
         row = rough[i]
         row[ids == own] = -np.inf
-        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-        near = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf)) if least > -np.inf else np.flatnonzero(row > -np.inf)
+        if len(row) > k:
+            bound = max(bound, float(np.partition(row, len(row) - k)[len(row) - k]))
+        near = np.flatnonzero((row >= (bound - 1e-9 * (1 + abs(bound)) if np.isfinite(bound) else bound)) & (row > -np.inf))
         exact = (x[near] * q[i]).sum(axis=1)  # a product's rounding may depend on its place in a matrix, this sum's doesn't
         order = np.lexsort((ids[near], -exact))[:k]
         out.append((np.full(len(order), own), ids[near][order], exact[order]))
@@ -188,7 +194,8 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], empty)
-    sample = lengthened(np.stack([np.frombuffer(r.v) for r in values.orderBy(F.xxhash64("vec_id", "slot"), "slot").limit(SAMPLE_ROWS).select("v").collect()]), most)
+    drawn = values.orderBy(F.xxhash64("vec_id", "slot"), "slot").limit(SAMPLE_ROWS).select("v").collect()
+    sample = lengthened(np.stack([np.frombuffer(r.v) for r in drawn]), most)
     tree = grow(sample, total)
     shared = spark.sparkContext.broadcast((tree, calibrate(tree, sample, k)))
 
@@ -207,21 +214,31 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
     index = written(values.mapInArrow(place, "vec_id long, slot long, v binary, leaf long"), "leaves")
     asked = written(values.filter(F.col("vec_id") % every == 0).mapInArrow(visits, "query_id long, slot long, q binary, leaves array<long>"), "visits")
     # One row for each leaf of the bounded tree.
-    parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
-    sizes = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_CHUNK).alias("chunks")).join(parts, "leaf")
-    sizes = F.broadcast(written(sizes, "sizes"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("slot"), "parts").alias("part"), upto("chunks").alias("chunk"), "vec_id", "v")
-    right = asked.select("query_id", "slot", "q", F.explode("leaves").alias("leaf")).join(sizes, "leaf").select("leaf", upto("parts").alias("part"), F.pmod(F.xxhash64("slot"), "chunks").alias("chunk"), "query_id", "q")
+    parts = F.broadcast(written(index.groupBy("leaf").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")), "parts"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         x, q = (np.stack([np.frombuffer(v) for v in t.column(c).to_pylist()]) if len(t) else None for t, c in ((a, "v"), (b, "q")))
-        found = nearest(x, a.column("vec_id").to_numpy(), q, b.column("query_id").to_numpy(), k) if len(a) and len(b) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = nearest(x, a.column("vec_id").to_numpy(), q, b.column("query_id").to_numpy(), b.column("least").to_numpy(), k) if len(a) and len(b) else nothing
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    found = left.groupBy("leaf", "part", "chunk").cogroup(right.groupBy("leaf", "part", "chunk")).applyInArrow(best, "query_id long, vec_id long, score double")
+    def visited(queries: DataFrame) -> DataFrame:
+        """Best rows of ``queries`` (query_id, slot, q, least, leaf) in their leaves."""
+        sizes = F.broadcast(written(queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_CHUNK).alias("chunks")), "chunks").join(parts, "leaf"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = index.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("slot"), "parts").alias("part"), upto("chunks").alias("chunk"), "vec_id", "v")
+        right = queries.join(sizes, "leaf").select("leaf", upto("parts").alias("part"), F.pmod(F.xxhash64("slot"), "chunks").alias("chunk"), "query_id", "q", "least")
+        return left.groupBy("leaf", "part", "chunk").cogroup(right.groupBy("leaf", "part", "chunk")).applyInArrow(best, "query_id long, vec_id long, score double")
+
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k)
+    n = F.lit(FIRST_LEAVES)
+    anything = F.lit(float("-inf"))
+    first = written(ranked(visited(asked.select("query_id", "slot", "q", anything.alias("least"), F.explode(F.slice("leaves", 1, FIRST_LEAVES)).alias("leaf")))), "first")
+    bound = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(anything).alias("least"))
+    more = asked.filter(F.size("leaves") > n).select("query_id", "slot", "q", F.explode(F.slice("leaves", n + 1, F.size("leaves") - n)).alias("leaf"))
+    rest = visited(written(more.join(bound, "query_id", "left").select("query_id", "slot", "q", F.coalesce("least", anything).alias("least"), "leaf"), "more"))
+    return ranked(first.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

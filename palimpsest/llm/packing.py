@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents, pieces, word_bpe, written
+from palimpsest.llm.common import documents, pieces, small_batches, word_bpe, written
 
 WINDOW = 2048
 ITERATIONS = 150
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW) ->
     documents of their own. No documents give no pieces.
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, task = pieces(vocabulary), TaskContext.get().partitionId()

@@ -30,7 +30,7 @@ from palimpsest.llm.common import documents
 
 META = "▁"
 #: Words, and pairs of pieces, whose results a worker holds.
-HELD = 250_000
+HELD = 400_000
 
 
 class Transducer:

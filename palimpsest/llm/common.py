@@ -33,10 +33,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+#: Rows of a file of a table whose size is known.
+ROWS_A_FILE = 100_000
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    ``rows`` is the number of (short) rows at most, where it is known: small tables then
+    make few files, and few tasks in the stage that writes them.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

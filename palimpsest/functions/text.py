@@ -94,7 +94,7 @@ def fallback_text(normalized: Column, raw: Column) -> Column:
 
 def joined_lines(texts: Column, separator: str = "\n") -> Column:
     """Texts without margins, blank ones left out."""
-    return F.array_join(F.filter(F.transform(texts, F.trim), lambda t: t != ""), separator)
+    return F.array_join(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), separator)
 
 
 def split_candidates(output: Column, most: int | None = None, bracketed: bool = True) -> Column:
@@ -119,8 +119,8 @@ def parse_cost(output: Column) -> Column:
 
 def parse_score(output: Column) -> Column:
     """1 / (1 + cost); 0 without a parse."""
-    cost = parse_cost(output)
-    return F.coalesce(1 / (1 + F.greatest(cost, F.lit(0.0))), F.lit(0.0))
+    cost = parse_cost(output)  # greatest() would take a null for nothing
+    return F.when(cost.isNotNull(), 1 / (1 + F.greatest(cost, F.lit(0.0)))).otherwise(0.0)
 
 
 def has_morphology(output: Column) -> Column:
@@ -195,7 +195,7 @@ def numeric_confidence(value: Column) -> Column:
     text = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
     words = F.create_map(*(F.lit(x) for pair in CONFIDENCE_WORDS.items() for x in pair))
     number = F.regexp_extract(text, r"\d+(?:\.\d+)?", 0).try_cast("double")
-    share = F.least(F.lit(1.0), F.when(number > 1, number / 100).otherwise(number))
+    share = F.when(number.isNotNull(), F.least(F.lit(1.0), F.when(number > 1, number / 100).otherwise(number)))
     return F.format_string("%.2f", F.coalesce(F.try_element_at(words, text), share, F.lit(0.0)))
 
 
@@ -220,6 +220,6 @@ def suggestion_rows(suggestions: Column, most: int = 8) -> Column:
         observed, best, gloss = blank(s["observed_token"]), blank(s["best_surface"]), blank(s["candidate_gloss"])
         arrow = F.when((best != "") & (best != observed), F.concat(F.lit(" -> "), best)).otherwise("")
         tail = F.when(gloss != "", F.concat(F.lit(" | gloss="), gloss)).otherwise("")
-        return F.concat(F.lit("- "), observed, arrow, F.lit(" | source="), blank(s["source"]), F.lit(" | score="), F.format_string("%.3f", s["combined_score"]), tail)
+        return F.concat(F.lit("- "), observed, arrow, F.lit(" | source="), blank(s["source"]), F.lit(" | score="), F.format_string("%.3f", s["combined_score"].cast("double")), tail)
 
     return F.slice(F.transform(F.filter(ordered, lambda s: blank(s["observed_token"]) != ""), row), 1, most)

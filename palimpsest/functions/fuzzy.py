@@ -7,6 +7,7 @@ found longest block first. It is not symmetric; no built-in distance can stand i
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -51,19 +52,40 @@ def token_score(observed: str, entry: str, dependent: re.Pattern[str]) -> tuple:
     return round(min(score, 1.0), 4), *(round(x, 4) for x in parts), text, bonus
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
+def attainable(observed: str, entry: str, dependent: re.Pattern[str]) -> float:
+    """Upper bound of the score by the letters that both texts hold, in any order."""
+    def most(a: str, b: str, window: int) -> float:
+        common = (_letters(a) & _letters(b)).total()
+        whole = 2 * common / (len(a) + len(b)) if a and b else 0.0
+        return max(whole, 2 * min(common, len(b)) / (max(window, min(common, len(b))) + len(b))) if len(observed) > len(entry) + 2 and b else whole
+
+    bare = most(dependent.sub("", observed), dependent.sub("", entry), 0)
+    return 0.6 * most(observed, entry, len(entry) + 2) + 0.3 * bare + prefix_bonus(observed, entry)
+
+
 DETAILS = T.StructType([
     T.StructField(name, T.StringType() if name == "best_window" else T.DoubleType())
     for name in ("score", "full_ratio", "full_skeleton_ratio", "window_ratio", "window_skeleton_ratio", "best_window", "prefix_bonus")
 ])
 
 
-def scored_token(script: Script):
-    """UDF of an observed token and an entry: struct of DETAILS. It is never evaluated twice, nor below a filter on it."""
+def scored_token(script: Script, least: float = 0.0):
+    """UDF of an observed token and an entry: struct of DETAILS, nulls for what can't reach ``least``.
+
+    It is never evaluated twice, nor below a filter on it.
+    """
     dependent = re.compile(f"[{script.dependent}]+")
 
     @F.pandas_udf(DETAILS)
     def scored(observed: pd.Series, entry: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([token_score(o, e, dependent) for o, e in zip(observed, entry, strict=True)], columns=DETAILS.names)
+        nothing = (None,) * len(DETAILS)
+        rows = [token_score(o, e, dependent) if attainable(o, e, dependent) >= least - 1e-4 else nothing for o, e in zip(observed, entry, strict=True)]
+        return pd.DataFrame(rows, columns=DETAILS.names)
 
     return scored.asNondeterministic()
 

@@ -18,6 +18,12 @@ def _attainable(a, b):
     return 2 * F.least(a, b) / (a + b)
 
 
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle makes, or there are cores: few rows, much work on each."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), by)
+
+
 def candidates(tokens: DataFrame, lexicon: DataFrame, script: Script = DEVANAGARI, least: float = TOKEN_THRESHOLD, most: int = 5, token: str = "token") -> DataFrame:
     """The ``most`` best entries of each distinct token that score at least ``least``.
 
@@ -29,13 +35,14 @@ def candidates(tokens: DataFrame, lexicon: DataFrame, script: Script = DEVANAGAR
     known = lexicon.select(F.col("token").alias("entry"), "normalized", "lemma", "pos", "gloss", F.col("position").alias("entry_position"), F.length("normalized").alias("entry_length"))
     n = F.length("observed")
     seen = tokens.select(F.col(token).alias("observed")).distinct().filter("observed <> ''")
+    seen = dealt(seen, "observed")
     side = F.broadcast(known) if lexicon.count() <= BROADCAST_ROWS else known
     # Longer texts are also compared by windows two characters longer than the entry.
     window = F.when(n > F.col("entry_length") + 2, F.col("entry_length") + 2).otherwise(n)
     # Skeletons are shorter than their texts and may agree fully: only the weight of the characters is bounded.
     bound = 0.6 * F.greatest(_attainable(n, F.col("entry_length")), _attainable(window, F.col("entry_length"))) + 0.38
     pairs = seen.join(side, bound >= least)
-    scored = pairs.withColumn("details", scored_token(script)("observed", "normalized")).withColumn("score", F.col("details.score")).filter(F.col("score") >= least)
+    scored = pairs.withColumn("details", scored_token(script, least)("observed", "normalized")).withColumn("score", F.col("details.score")).filter(F.col("score") >= least)
     order = Window.partitionBy("observed").orderBy(F.desc("score"), "entry_position")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("entry_length")
 

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.fuzzy import token_score
+from palimpsest.functions.fuzzy import attainable, token_score
 from palimpsest.functions.text import DEVANAGARI, Script
+from palimpsest.operators.matching import dealt
 
 PER_START = 12
 STEPS = "array<struct<kind:string,surface:string,normalized:string,score:double,lemma:string,pos:string,gloss:string>>"
@@ -35,7 +36,7 @@ def span_options(token: str, lexicon: list[Entry], least: float, dependent: re.P
         found = []
         for end in range(start + 2, min(len(token), start + reach) + 1):
             text = token[start:end]
-            scored = ((token_score(text, e.normalized, dependent)[0], e) for e in lexicon)
+            scored = ((token_score(text, e.normalized, dependent)[0], e) for e in lexicon if attainable(text, e.normalized, dependent) >= least - 1e-4)
             found += [(end, score, e) for score, e in scored if score >= least]
         found.sort(key=lambda x: (x[1] * (x[0] - start), -abs(len(x[2].token) - (x[0] - start)), x[1]), reverse=True)
         options.append(found[:PER_START])
@@ -94,7 +95,8 @@ def segmentations(tokens: DataFrame, lexicon: list[Entry], script: Script = DEVA
             rows = [_row(t, n, p) for t in part["token"] for n, p in enumerate(best_paths(t, span_options(t, shared.value, least, rule), k, skip, split), 1)]
             yield pd.DataFrame(rows, columns=names)
 
-    return tokens.select(F.col(token).alias("token")).filter("token <> ''").distinct().mapInPandas(run, SCHEMA)
+    seen = tokens.select(F.col(token).alias("token")).filter("token <> ''").distinct()
+    return dealt(seen, "token").mapInPandas(run, SCHEMA)
 
 
 def entries_of(lexicon: DataFrame, most: int = 10_000) -> list[Entry]:

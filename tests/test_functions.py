@@ -80,6 +80,13 @@ def test_token_score(observed, entry, score):
     assert fuzzy.token_score(observed, entry, SKELETON)[0] == score
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abeilorst", max_size=14), st.text(alphabet="abeilorst", min_size=1, max_size=7))
+def test_no_score_is_over_its_bound(observed, entry):
+    vowels = __import__("re").compile("[aeiou]+")
+    assert fuzzy.token_score(observed, entry, vowels)[0] <= fuzzy.attainable(observed, entry, vowels) + 1e-4
+
+
 def test_ratio_is_not_symmetric():
     assert fuzzy.ratio("tide", "diet") == 0.25 and fuzzy.ratio("diet", "tide") == 0.5 and fuzzy.ratio("", "a") == 0.0
 

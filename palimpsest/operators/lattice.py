@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.fuzzy import scored_span
 from palimpsest.functions.syllables import split_syllables
 from palimpsest.functions.text import DEVANAGARI, Script, token_skeleton
-from palimpsest.operators.matching import BROADCAST_ROWS, SPAN_THRESHOLD, dealt
+from palimpsest.operators.matching import SPAN_THRESHOLD, against, dealt
 
 SEGMENT = ("line_index", "segment_index")
 
@@ -29,10 +29,9 @@ def lattice(segments: DataFrame, lexicon: DataFrame, script: Script = DEVANAGARI
     cut = segments.withColumn("units", split_syllables(F.col(text)))
     placed = spans(cut, most_units)
     known = lexicon.select(F.col("token").alias("entry"), "normalized", "gloss", F.col("position").alias("entry_position"), F.size(split_syllables(F.col("normalized"))).alias("entry_units"))
-    side = F.broadcast(known) if lexicon.count() <= BROADCAST_ROWS else known
     a, b = F.length("span"), F.length("normalized")
     reach = 0.67 * 2 * F.least(a, b) / (a + b) + 0.25 + F.greatest(F.lit(0.0), 0.08 - 0.02 * F.abs(F.col("n_units") - F.col("entry_units"))) >= least
-    pairs = dealt(placed.select("span", "n_units").distinct(), "span").join(side, reach)
+    pairs = against(dealt(placed.select("span", "n_units").distinct(), "span"), known, reach, lexicon.count())
     score = scored_span.asNondeterministic()("span", token_skeleton(F.col("span"), script), "n_units", "normalized", token_skeleton(F.col("normalized"), script), "entry_units")
     scored = pairs.withColumn("score", score).filter(F.col("score") >= least)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("span", "n_units").orderBy(F.desc("score"), "entry_position"))).filter(F.col("rank") <= per_span)

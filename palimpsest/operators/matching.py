@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.fuzzy import scored_token
 from palimpsest.functions.text import DEVANAGARI, Script
 
-#: Largest lexicon, in rows, that is sent to every executor whole; beyond it pairs meet by length.
+#: Largest lexicon, in rows, that is sent to every executor whole; a larger one is cut into blocks.
 BROADCAST_ROWS = 200_000
 TOKEN_THRESHOLD, SPAN_THRESHOLD, REPLACE_THRESHOLD = 0.58, 0.62, 0.78
 
@@ -24,6 +24,20 @@ def dealt(rows: DataFrame, by: str) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), by)
 
 
+def against(seen: DataFrame, known: DataFrame, condition: Column, rows: int) -> DataFrame:
+    """``seen`` joined with a lexicon of ``rows`` rows by any condition.
+
+    Up to BROADCAST_ROWS the lexicon is sent to all tasks; a larger one is cut into blocks of
+    that size, against each of which all of ``seen`` is held.
+    """
+    if rows <= BROADCAST_ROWS:
+        return seen.join(F.broadcast(known), condition)
+    blocks = -(-rows // BROADCAST_ROWS)
+    parts = known.withColumn("_block", F.pmod(F.xxhash64(*known.columns), F.lit(blocks)))
+    each = seen.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return each.join(parts, (each["_block"] == parts["_block"]) & condition).drop("_block")
+
+
 def candidates(tokens: DataFrame, lexicon: DataFrame, script: Script = DEVANAGARI, least: float = TOKEN_THRESHOLD, most: int = 5, token: str = "token") -> DataFrame:
     """The ``most`` best entries of each distinct token that score at least ``least``.
 
@@ -36,12 +50,11 @@ def candidates(tokens: DataFrame, lexicon: DataFrame, script: Script = DEVANAGAR
     n = F.length("observed")
     seen = tokens.select(F.col(token).alias("observed")).distinct().filter("observed <> ''")
     seen = dealt(seen, "observed")
-    side = F.broadcast(known) if lexicon.count() <= BROADCAST_ROWS else known
     # Longer texts are also compared by windows two characters longer than the entry.
     window = F.when(n > F.col("entry_length") + 2, F.col("entry_length") + 2).otherwise(n)
     # Skeletons are shorter than their texts and may agree fully: only the weight of the characters is bounded.
     bound = 0.6 * F.greatest(_attainable(n, F.col("entry_length")), _attainable(window, F.col("entry_length"))) + 0.38
-    pairs = seen.join(side, bound >= least)
+    pairs = against(seen, known, bound >= least, lexicon.count())
     scored = pairs.withColumn("details", scored_token(script, least)("observed", "normalized")).withColumn("score", F.col("details.score")).filter(F.col("score") >= least)
     order = Window.partitionBy("observed").orderBy(F.desc("score"), "entry_position")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("entry_length")
@@ -62,8 +75,6 @@ def exact_hits(tokens: DataFrame, lexicon: DataFrame, token: str = "token") -> D
 def nearest_by_edits(tokens: DataFrame, lexicon: DataFrame, most: int = 3, furthest: int = 2) -> DataFrame:
     """Entries within ``furthest`` edits of a token, the ``most`` nearest first. (Distinct tokens; lengths within reach.)"""
     seen = tokens.select(F.col("token").alias("observed")).distinct()
-    side = lexicon.select(F.col("normalized").alias("entry"))
-    side = F.broadcast(side) if lexicon.count() <= BROADCAST_ROWS else side
-    pairs = seen.join(side, F.abs(F.length("observed") - F.length("entry")) <= furthest)
+    pairs = against(seen, lexicon.select(F.col("normalized").alias("entry")), F.abs(F.length("observed") - F.length("entry")) <= furthest, lexicon.count())
     near = pairs.withColumn("distance", F.levenshtein("observed", "entry")).filter(F.col("distance") <= furthest)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("observed").orderBy("distance", "entry"))).filter(F.col("rank") <= most)

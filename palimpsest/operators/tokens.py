@@ -54,7 +54,9 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position", parts: i
     Rows are ranged by the order; counts of earlier ranges, one row each, are added to the
     place within the range. Rows that are equal in the order must be equal in all of it.
     """
-    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    # A given number of ranges: both uses below then read the same ones, which no rule joins up.
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     within = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     counts = within.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -66,14 +68,9 @@ def observed_tokens(ocr: DataFrame, lattice: DataFrame | None = None) -> DataFra
 
     Repeats of a key are dropped after numbering, so ids may have gaps.
     """
-    rows = appended(ocr, lattice) if lattice is not None else ocr
-    order = ["chunk_index", "entry_index", "segment_index", F.desc("source"), "token_index", "token"]
-    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy("chunk_index").orderBy(*order[1:])))
-    counts = placed.groupBy("chunk_index").agg(F.count("*").alias("_n"))
-    before = counts.select("chunk_index", F.coalesce(F.sum("_n").over(Window.orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = placed.join(before, "chunk_index").withColumn("position", F.col("position") + F.col("_before")).drop("_before")
-    kept = first_of_each(placed, KEY, ["position"])
-    return kept.withColumn("id", F.concat(F.lit("obs_"), F.format_string("%04d", "position")))
+    rows = (appended(ocr, lattice) if lattice is not None else ocr).withColumn("_later", F.col("source") != "ocr_segment")
+    placed = numbered(rows, ["chunk_index", "entry_index", "segment_index", "_later", "token_index", "token"]).drop("_later")
+    return first_of_each(placed, KEY, ["position"]).withColumn("id", F.format_string("obs_%04d", "position"))
 
 
 def token_frequency(tokens: DataFrame, token: str = "token") -> DataFrame:

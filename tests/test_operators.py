@@ -188,6 +188,18 @@ def test_candidates_and_choice(spark):
     assert [r.token for r in matching.exact_hits(chosen, lexicon(spark)).select("token").distinct().orderBy("token").collect()] == ["dog", "quick"]
 
 
+def test_a_large_lexicon_is_met_in_blocks(spark, monkeypatch):
+    whole = sorted(tuple(r) for r in matched(spark)[1].select("observed", "entry", "score", "rank").collect())
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 2)
+    found = matched(spark)[1].select("observed", "entry", "score", "rank")
+    assert sorted(tuple(r) for r in found.collect()) == whole
+
+
+def test_batches_over_all_rows(spark):
+    rows = review.fixed_batches(spark.range(10).repartition(3), "id", 4).collect()
+    assert {r.id: r.batch_index for r in rows} == {i: i // 4 + 1 for i in range(10)}
+
+
 def test_pairs_left_out_by_length_never_reach_the_score(spark):
     from palimpsest.functions.fuzzy import token_score
 

@@ -72,7 +72,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language or ``und``, score, rejected). Null, letterless: ``und``, 0, rejected. Ties: the more frequent language."""
-        data = letters(text) if text else b""
+        data = letters(text) if text and any(map(str.isalpha, text)) else b""
         if not data or not self.compressors:
             return "und", 0.0, True
         chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]

@@ -87,24 +87,24 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
     total = np.floor(np.cumsum(x) + 0.5).astype(np.int64)
     copies = np.diff(total, prepend=0)
     stock = histogram.astype(np.int64).tolist()
-    taken, rows = [], []
-    for i in np.flatnonzero(copies).tolist():
-        row = combos[i].tolist()
-        n = min([int(copies[i]), *(stock[v] // row.count(v) for v in set(row) if v)])
+    used = np.flatnonzero(copies)
+    taken = np.zeros(len(used), np.int64)
+    for j, row in enumerate(map(np.ndarray.tolist, combos[used])):
+        n = min([int(copies[used[j]]), *(stock[v] // row.count(v) for v in set(row) if v)])
         if n > 0:
             for v in row:
                 stock[v] -= n if v else 0
-            taken.append(n), rows.append(row)
-    first, planned, slots = 0, np.zeros(window + 1, np.int64), []
-    for n, row in zip(taken, rows, strict=True):
-        place = 0
-        for v in row:
-            if v:
-                slots.append((v << 40 | int(planned[v]), first, place))
-                planned[v] += n
-                place += v
-        first += n
-    slots = np.array(sorted(slots), np.int64).reshape(-1, 3)
+            taken[j] = n
+    rows, taken = combos[used][taken > 0], taken[taken > 0]
+    first = int(taken.sum())
+    lengths, counts = rows.ravel(), np.repeat(taken, 3)
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    before = np.cumsum(counts[order]) - counts[order]
+    starts = np.searchsorted(lengths[order], np.arange(window + 1))
+    base = np.append(before, counts[order].sum())[starts]
+    planned = np.bincount(lengths[order], counts[order], window + 1).astype(np.int64)
+    slots = np.column_stack([lengths[order] << 40 | before - base[lengths[order]], np.repeat(np.cumsum(taken) - taken, 3)[order], (np.cumsum(rows, axis=1) - rows).ravel()[order]])
     left = np.array(stock, np.int64)
     left[0] = 0
     mass = left * np.arange(window + 1)

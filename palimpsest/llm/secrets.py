@@ -66,12 +66,16 @@ def _spans(text: Column, pattern: str, found: Column, kind: int, good) -> Column
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda held: held["spans"])).otherwise(none)
 
 
-def _upper_tail(x: Column) -> Column:
-    """1 - Phi(x) by the five-term rational approximation of Abramowitz and Stegun, 26.2.17."""
-    a = F.abs(x)
-    t = 1 / (1 + 0.2316419 * a)
-    tail = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.when(x >= 0, tail).otherwise(1 - tail)
+def _upper_tails(x: Column) -> Column:
+    """1 - Phi of each number by the five-term rational approximation of Abramowitz and Stegun, 26.2.17."""
+
+    def tail(u: Column) -> Column:
+        t = u["t"]
+        part = F.exp(-u["x"] * u["x"] / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.struct(u["x"].alias("x"), part.alias("p"))
+
+    bound = F.transform(x, lambda v: F.struct(v.alias("x"), (1 / (1 + 0.2316419 * F.abs(v))).alias("t")))
+    return F.transform(F.transform(bound, tail), lambda u: F.when(u["x"] >= 0, u["p"]).otherwise(1 - u["p"]))
 
 
 def _statistics(text: Column) -> Column:
@@ -91,21 +95,39 @@ def _statistics(text: Column) -> Column:
     return F.struct(n.alias("n"), size.cast("double").alias("k"), pairs.alias("pairs"), F.length(kinds).cast("double").alias("runs"), sums.alias("sums"))
 
 
-def _surprise(s: Column) -> Column:
-    """-ln of the combined probability of a candidate's statistics in prose; 0 without an encoding."""
-    n, k = s["n"], s["k"]
-    chi = k / n * s["pairs"] - n
+def _moments(s: Column) -> Column:
+    """Struct of k, n, chi, runs, and of the mean, variance and lagged product of a candidate's characters."""
+    mean = s["sums"]["s"] / s["n"]
+    return F.struct(
+        s["k"].alias("k"), s["n"].alias("n"), (s["k"] / s["n"] * s["pairs"] - s["n"]).alias("chi"), s["runs"].alias("runs"), mean.alias("mean"),
+        (s["sums"]["ss"] / s["n"]).alias("square"), (s["sums"]["sp"] / F.greatest(s["n"] - 1, F.lit(1.0))).alias("lagged"),
+    )
+
+
+def _deviations(m: Column) -> Column:
+    """By test, how many deviations a candidate is from prose, towards randomness."""
+    n, k = m["n"], m["k"]
     excess = F.greatest(k * COLLISION - 1, F.lit(0.5))
-    p1 = _upper_tail((k - 1 + (n - 1) * excess - chi) / F.sqrt(2 * (k - 1) + 4 * n * excess))
+    uniform = (k - 1 + (n - 1) * excess - m["chi"]) / F.sqrt(2 * (k - 1) + 4 * n * excess)
     changes = CHANGES * (n - 1)
-    p2 = _upper_tail((s["runs"] - 1 - changes - 0.5) / F.sqrt(changes))
-    mean = s["sums"]["s"] / n
-    variance = s["sums"]["ss"] / n - mean * mean
-    r = F.when(variance > 0, (s["sums"]["sp"] / (n - 1) - mean * mean) / variance).otherwise(1.0)
-    p3 = _upper_tail((CORRELATION - F.abs(r)) * F.sqrt(n))
-    x = -F.ln(F.greatest(p1, F.lit(1e-300))) - F.ln(F.greatest(p2, F.lit(1e-300))) - F.ln(F.greatest(p3, F.lit(1e-300)))
-    combined = x - F.ln(1 + x + x * x / 2)  # the upper tail of chi-squared with six degrees
-    return F.when(k.isNotNull() & (n >= LEAST), combined).otherwise(0.0)
+    runs = (m["runs"] - 1 - changes - 0.5) / F.sqrt(F.greatest(changes, F.lit(1e-9)))
+    variance = m["square"] - m["mean"] * m["mean"]
+    r = F.when(variance > 0, (m["lagged"] - m["mean"] * m["mean"]) / variance).otherwise(1.0)
+    return F.array(uniform, runs, (CORRELATION - F.abs(r)) * F.sqrt(n))
+
+
+def _surprises(stats: Column) -> Column:
+    """Of an array of (span, s): (span, surprise). Surprise is -ln of the tests' combined probability in prose, 0 without an encoding.
+
+    Each step names what the next uses more than once, which keeps the expression small.
+    """
+    step = F.transform(stats, lambda p: F.struct(p["span"].alias("span"), _moments(p["s"]).alias("m")))
+    known = lambda m: m["k"].isNotNull() & (m["n"] >= LEAST)
+    step = F.transform(step, lambda p: F.struct(p["span"].alias("span"), F.when(known(p["m"]), _deviations(p["m"])).alias("z")))
+    total = lambda z: F.aggregate(_upper_tails(z), F.lit(0.0), lambda a, q: a - F.ln(F.greatest(q, F.lit(1e-300))))
+    step = F.transform(step, lambda p: F.struct(p["span"].alias("span"), total(p["z"]).alias("x")))
+    # The upper tail of chi-squared with six degrees at 2x.
+    return F.transform(step, lambda p: F.struct(p["span"].alias("span"), F.coalesce(p["x"] - F.ln(1 + p["x"] + p["x"] * p["x"] / 2), F.lit(0.0)).alias("surprise")))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -127,7 +149,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.col("scan_places").alias("span"), F.col("scan_random").alias("of"))
     apart = F.filter(pairs, lambda p: ~F.exists("scan_base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
     stats = F.transform(apart, lambda p: F.struct(p["span"].alias("span"), _statistics(p["of"]).alias("s")))
-    more = F.transform(stats, lambda p: F.struct(p["span"].alias("span"), _surprise(p["s"]).alias("surprise")))
+    more = _surprises(stats)
     empty = F.array().cast(f"array<struct<span:{SPAN},surprise:double>>")
     rows = rows.withColumn("scan_more", F.when(F.size("scan_random") > 0, more).otherwise(empty))
     return rows.drop("scan_assign", "scan_access", "scan_hex", "scan_random", "scan_places")

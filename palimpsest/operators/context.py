@@ -43,11 +43,11 @@ def context_window(parts: Column) -> Column:
     return F.concat("before", F.filter(parts, lambda p: p != ""), "after")
 
 
-def own_candidates(tokens: DataFrame) -> DataFrame:
-    """The best entry of each token, or the token as observed: id, source, surface, parts, local_score, order."""
+def own_candidates(tokens: DataFrame, *more: str | Column) -> DataFrame:
+    """The best entry of each token, or the token as observed: id, source, surface, parts, local_score, order, and columns ``more``."""
     known = F.col("best_entry").isNotNull()
     text = F.when(known, F.col("best_entry")).otherwise(surface(F.col("best_entry"), F.col("chosen_token"), F.col("token")))
-    return tokens.select("id", F.when(known, "lexicon").otherwise("observed").alias("source"), text.alias("surface"), F.filter(F.array(text), lambda t: t.isNotNull()).alias("parts"), F.when(known, F.col("best_score")).otherwise(0.0).alias("local_score"), F.lit(0).alias("order"))
+    return tokens.select("id", F.when(known, "lexicon").otherwise("observed").alias("source"), text.alias("surface"), F.filter(F.array(text), lambda t: t.isNotNull()).alias("parts"), F.when(known, F.col("best_score")).otherwise(0.0).alias("local_score"), F.lit(0).alias("order"), *more)
 
 
 def parser_candidates(tokens: DataFrame, probes: DataFrame, most: int = 1) -> DataFrame:
@@ -74,15 +74,19 @@ def split_candidates_of(tokens: DataFrame, splits: DataFrame, morphology: DataFr
     return rows.select("id", F.lit("dp_split").alias("source"), F.array_join("parts", " ").alias("surface"), "parts", split_score(F.col("_s"), F.col("skipped_chars")).alias("local_score"), (F.col("rank") + 1000).alias("order"))
 
 
-def ranked(tokens: DataFrame, candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame], radius: int = 0, most_chars: int = 32, local: float = 0.4, context: float = 0.6, by: tuple[str, ...] = ()) -> DataFrame:
-    """All candidates with context and combined scores.
+def ranked(tokens: DataFrame, more: DataFrame | None, scorer: Callable[[DataFrame], DataFrame], radius: int = 0, most_chars: int = 32, local: float = 0.4, context: float = 0.6, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each token's own candidate, and ``more``, with context and combined scores.
 
     ``scorer`` gets each distinct window once (``context_window``) and adds ``context_score``;
     windows over ``most_chars`` characters are not asked for and count 0 (``skipped``).
     """
     near = neighbours(tokens.withColumn("surface", surface(F.col("best_entry"), F.col("chosen_token"), F.col("token"))), radius, by=by)
-    order = Window.partitionBy("id").orderBy("order")
-    rows = candidates.withColumn("candidate_index", F.row_number().over(order)).join(near.select("id", F.col("token").alias("observed_token"), "before", "after"), "id")
+    rows = own_candidates(near, F.col("token").alias("observed_token"), "before", "after")
+    if more is None:
+        rows = rows.withColumn("candidate_index", F.lit(1))
+    else:
+        rows = rows.unionByName(more.join(near.select("id", F.col("token").alias("observed_token"), "before", "after"), "id"))
+        rows = rows.withColumn("candidate_index", F.row_number().over(Window.partitionBy("id").orderBy("order")))
     rows = rows.withColumn("context_window", context_window(F.col("parts"))).drop("before", "after")
     rows = rows.withColumn("skipped", F.length(F.array_join("context_window", " ")) > most_chars)
     scores = scorer(rows.filter(~F.col("skipped")).select("context_window").distinct())

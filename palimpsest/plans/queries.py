@@ -483,7 +483,7 @@ SELECT id, token AS surface, CASE WHEN entry IS NULL THEN 'observed' ELSE 'lexic
   length(coalesce(b || ' ', '') || token || coalesce(' ' || a, '')) > 32 AS skipped FROM own""")
 def contextual_candidates(spark, sf_dir):
     rows = matched_tokens(spark, sf_dir)
-    found = context.ranked(rows, context.own_candidates(rows), context.by_adjacency(rows, value="token"), radius=1, by=("chunk_index",))
+    found = context.ranked(rows, None, context.by_adjacency(rows, value="token"), radius=1, by=("chunk_index",))
     return context.best_of_each(found).select("id", "surface", "source", "skipped")
 
 

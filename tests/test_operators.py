@@ -270,18 +270,18 @@ def test_ranking(spark):
     probes = spark.createDataFrame([("fox", "Split: ['ka', 'ma']", 1), ("fox", "Split: ['ga']\nSplit: ['gam']", 2)], "token string, output string, position long")
     paths = spark.createDataFrame([("fox", 1, 2, [("lexical", "fo", 0.9), ("noise", "x", -0.5)]), ("fox", 2, 0, [("lexical", "fx", 0.9)])], "token string, rank int, skipped_chars int, steps array<struct<kind:string,normalized:string,score:double>>")
     known = spark.createDataFrame([("fo",)], "part string")
-    every = context.own_candidates(chosen).unionByName(context.parser_candidates(chosen, probes)).unionByName(context.split_candidates_of(chosen, paths, known, most=2))
+    more = context.parser_candidates(chosen, probes).unionByName(context.split_candidates_of(chosen, paths, known, most=2))
     flat = lambda windows: windows.withColumn("context_score", F.lit(0.5))
-    found = context.ranked(chosen, every, flat, radius=1)
+    found = context.ranked(chosen, more, flat, radius=1)
     rows = {(r.observed_token, r.source): r for r in found.collect()}
     assert rows["fox", "parser_split"].surface == "ग" and rows["fox", "parser_split"].local_score == 0.5
     assert rows["fox", "dp_split"].local_score == pytest.approx(0.9 - 0.16) and ("fox", "dp_split") in rows
     assert rows["fox", "observed"].context_window == ["quick", "fox", "lazy"]
     best = {r.observed_token: r.source for r in context.best_of_each(found).collect()}
     assert best["fox"] == "dp_split" and best["quick"] == "lexicon"
-    long = context.ranked(chosen, every, flat, radius=3, most_chars=5).filter("not skipped").count()
+    long = context.ranked(chosen, more, flat, radius=3, most_chars=5).filter("not skipped").count()
     assert long == 0
-    assert context.context_edges(found).count() == context.context_nodes(found).count() == every.count()
+    assert context.context_edges(found).count() == context.context_nodes(found).count() == more.count() + chosen.count()
 
 
 # Review

@@ -88,6 +88,13 @@ def heuristic_score(confidence: Column, script: Column, lexical: Column, latin:
     return 0.35 * confidence + 0.30 * script + 0.25 * lexical + 0.10 * bonus - 0.35 * latin - 0.20 * digits - penalty
 
 
+def text_score(text: Column, confidences: Column) -> Column:
+    """Struct of the mean confidence (0 for none) and the visible characters: the order in which results are preferred."""
+    n = F.size(confidences)
+    mean = F.when(n > 0, F.aggregate(confidences, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
+    return F.struct(mean.alias("mean_score"), character_counts(text)["non_whitespace_characters"].alias("non_whitespace_characters"))
+
+
 def fallback_text(normalized: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(normalized, F.lit("")), F.trim(raw))
 

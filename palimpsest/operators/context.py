@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +125,34 @@ def by_adjacency(tokens: DataFrame, value: str = "surface", position: str = "pos
     return score
 
 
+def by_function(score: Callable[[list[str]], float]) -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a Python function, such as a call to an analyser: each distinct window is asked for once.
+
+    A window for which it fails or runs out of time scores 0.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            scores = []
+            for window in part["context_window"]:
+                try:
+                    scores.append(float(score(list(window))))
+                except Exception:  # noqa: BLE001  any failure of the injected function
+                    scores.append(0.0)
+            yield part.assign(context_score=scores)
+
+    return lambda windows: windows.mapInPandas(run, "context_window array<string>, context_score double")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Counts over candidates, by source, and of those with a context score."""
+    of = lambda s: F.count_if(F.col("source") == s)
+    return rows.agg(
+        F.count("*").alias("candidates"), F.countDistinct("id").alias("tokens"), of("parser_split").alias("parser_splits"), of("dp_split").alias("dp_splits"),
+        F.count_if(F.col("context_score") > 0).alias("scored_in_context"), F.count_if("skipped").alias("skipped"),
+    )
+
+
 def context_nodes(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("candidate_id").alias("id"), F.lit("context_candidate").alias("type"), F.col("surface").alias("token"))
 

@@ -95,6 +95,19 @@ def remapped(box: Column, scale: Column, dx: Column, dy: Column) -> Column:
     return F.transform(box, lambda p: F.array(p[0] / scale + dx, p[1] / scale + dy))
 
 
+def remapped_tile(tile: Column, scale: Column, dx: Column, dy: Column) -> Column:
+    """A tile (tile_index, x, y, width, height) of a scaled crop in whole pixels of its source."""
+    whole = lambda v: F.rint(v).cast("int")
+    return F.struct(
+        tile["tile_index"].alias("tile_index"), whole(tile["x"] / scale + dx).alias("x"), whole(tile["y"] / scale + dy).alias("y"),
+        whole(tile["width"] / scale).alias("width"), whole(tile["height"] / scale).alias("height"),
+    )
+
+
+def confident(entries: DataFrame, least: float) -> DataFrame:
+    return entries.filter(F.col("confidence") >= least)
+
+
 def offset(box: Column, dx: Column, dy: Column) -> Column:
     return F.transform(box, lambda p: F.array(p[0] + dx, p[1] + dy))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.fuzzy import scored_span
@@ -21,14 +23,15 @@ def spans(segments: DataFrame, most: int = 8, units: str = "units") -> DataFrame
     return both.withColumn("n_units", F.col("end") - F.col("start")).withColumn("span", F.array_join(F.slice(units, F.col("start") + 1, F.col("n_units")), ""))
 
 
-def lattice(segments: DataFrame, lexicon: DataFrame, script: Script = DEVANAGARI, most_units: int = 8, least: float = SPAN_THRESHOLD, per_span: int = 5, text: str = "text") -> DataFrame:
+def lattice(segments: DataFrame, lexicon: DataFrame, script: Script = DEVANAGARI, most_units: int = 8, least: float = SPAN_THRESHOLD, per_span: int = 5, text: str = "text", splitter: Callable[[Column], Column] = split_syllables) -> DataFrame:
     """Scored entries of every span: the segment's columns, start, end, span, entry, score, rank within the span.
 
     Distinct spans are scored once, and joined back. Equal scores keep the lexicon's order.
+    ``splitter`` makes the units of a text; another one, of a library, can take its place.
     """
-    cut = segments.withColumn("units", split_syllables(F.col(text)))
+    cut = segments.withColumn("units", splitter(F.col(text)))
     placed = spans(cut, most_units)
-    known = lexicon.select(F.col("token").alias("entry"), "normalized", "gloss", F.col("position").alias("entry_position"), F.size(split_syllables(F.col("normalized"))).alias("entry_units"))
+    known = lexicon.select(F.col("token").alias("entry"), "normalized", "gloss", F.col("position").alias("entry_position"), F.size(splitter(F.col("normalized"))).alias("entry_units"))
     a, b = F.length("span"), F.length("normalized")
     reach = 0.67 * 2 * F.least(a, b) / (a + b) + 0.25 + F.greatest(F.lit(0.0), 0.08 - 0.02 * F.abs(F.col("n_units") - F.col("entry_units"))) >= least
     pairs = against(dealt(placed.select("span", "n_units").distinct(), "span"), known, reach, lexicon.count())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.fuzzy import attainable, token_score
-from palimpsest.functions.text import DEVANAGARI, Script
+from palimpsest.functions.text import DEVANAGARI, Script, has_morphology, has_split
 from palimpsest.operators.matching import dealt
 
 PER_START = 12
@@ -105,3 +105,11 @@ def entries_of(lexicon: DataFrame, most: int = 10_000) -> list[Entry]:
     if len(rows) > most:
         raise ValueError(f"a lexicon of over {most} entries can't be sent to all tasks")
     return [Entry(r.token, r.normalized, r.lemma or "", r.pos or "", r.gloss or "") for r in rows]
+
+
+def probe_summary(probes: DataFrame, splits: DataFrame) -> DataFrame:
+    """Of probed tokens (token, output): how many an analyser split or tagged, and how many a segmentation splits."""
+    cut = splits.select("token").distinct().withColumn("cut", F.lit(1))
+    return probes.join(cut, "token", "left").agg(
+        F.count("*").alias("tokens"), F.count_if(has_split(F.col("output"))).alias("split"), F.count_if(has_morphology(F.col("output"))).alias("tagged"), F.count("cut").alias("segmented"),
+    )

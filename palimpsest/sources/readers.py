@@ -61,6 +61,11 @@ def chosen_model(models: Column, preference: tuple[str, ...] = PREFERENCE) -> Co
     return F.get(ordered, F.lit(0))["value"]
 
 
+def unavailable(spark: SparkSession, models: dict[str, str]) -> DataFrame:
+    """Rows of models that can't run here, with the reason."""
+    return spark.createDataFrame([(m, False, r) for m, r in models.items()], "model string, available boolean, reason string")
+
+
 def recognized_entries(results: DataFrame) -> DataFrame:
     """Entries (:data:`~palimpsest.sources.schemas.CHUNK_ENTRY`) of recognition results of either kind; an error where there is no result.
 
@@ -109,4 +114,4 @@ def settings(lines: list[str], names: list[str]) -> dict[str, str | None]:
     return {n: os.environ.get(n, found.get(n)) for n in names}
 
 
-__all__ = ["ENTRY", "chosen_model", "images", "json_documents", "lexicon", "optional_documents", "page_scans", "recognition", "recognized_entries", "scan_entries", "settings", "word_lexicon", "zipped_result"]
+__all__ = ["ENTRY", "chosen_model", "images", "json_documents", "lexicon", "optional_documents", "page_scans", "recognition", "recognized_entries", "scan_entries", "settings", "unavailable", "word_lexicon", "zipped_result"]

@@ -35,6 +35,8 @@ def cases():
         (text.has_split(F.lit("Split: No Splits Found")), False),
         (text.safe_double(F.lit("x")), 0.0),
         (text.safe_int(F.lit("12")), 12),
+        (text.text_score(F.lit("a b"), F.array(F.lit(0.5), F.lit(1.0)))["mean_score"], 0.75),
+        (text.text_score(F.lit(None).cast("string"), F.array().cast("array<double>"))["non_whitespace_characters"], 0),
         (text.local_score(F.lit(0.2), F.lit(1)), 0.5),
         (text.split_score(F.array(F.lit(0.9), F.lit(0.7)), F.lit(1)), 0.8 - 0.06 - 0.08),
         (text.split_score(F.array().cast("array<double>"), F.lit(0)), 0.0),

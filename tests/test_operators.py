@@ -333,3 +333,37 @@ def test_records_and_prompts(spark):
     assert df.select(review.prompt("Title", {"raw": F.col("preferred_text"), "notes": F.col("notes")})).first()[0] == "Title\nraw: p\nnotes: none"
     runs = spark.createDataFrame([("r", "a", 1, 5), ("r", "b", 1, 5), ("r", "c", None, 9)], "k string, path string, s1 int, s2 int").withColumn("position", F.ascii("path"))
     assert review.best_run(runs, ["k"], ["s1", "s2"], "position").first().path == "a"
+
+
+def test_injected_functions(spark):
+    chosen, _ = matched(spark)
+
+    def score(window):
+        if "fox" in window:
+            raise RuntimeError("no answer")
+        return 0.5
+
+    found = context.ranked(chosen, None, context.by_function(score))
+    rows = {r.observed_token: r.context_score for r in found.collect()}
+    assert rows["fox"] == 0.0 and rows["quick"] == 0.5
+    assert tuple(context.summary(found).first()) == (7, 7, 0, 0, 6, 0)
+    batches = review.fixed_batches(spark.range(1, 7).withColumnRenamed("id", "line_index"), "line_index", 4)
+
+    def tell(records):
+        if len(records) < 4:
+            raise ValueError("too few")
+        return "-".join(str(r["line_index"]) for r in records)
+
+    assert sorted(tuple(r) for r in review.summarised(batches, ["batch_index"], tell, "line_index").collect()) == [(1, "1-2-3-4", "ok", None), (2, None, "error", "too few")]
+
+
+def test_small_ones(spark):
+    chosen, _ = matched(spark)
+    row = spark.range(1).select(geometry.remapped_tile(F.struct(F.lit(1).alias("tile_index"), F.lit(3).alias("x"), F.lit(4).alias("y"), F.lit(5).alias("width"), F.lit(6).alias("height")), F.lit(0.5), F.lit(10), F.lit(20)).alias("t")).first()
+    assert tuple(row.t) == (1, 16, 28, 10, 12) and geometry.confident(entries(spark), 0.8).count() == 3
+    lines = spark.createDataFrame([(1,)], "line int")
+    assert [(r.position, r.variant) for r in review.with_variants(lines, ("raw", "gray", "clean"), ("gray",)).collect()] == [(0, "raw"), (1, "clean")]
+    wanted = spark.createDataFrame([(1, 1), (None, 1)], "line_index int, segment_index int")
+    assert [r.token for r in review.segment_tokens(wanted, chosen).orderBy("token_order").collect()] == ["The", "quick", "fox"]
+    probes = spark.createDataFrame([("a", "Split: ['x']"), ("b", "Morphological tags:\n(n)\n"), ("c", None)], "token string, output string")
+    assert tuple(splits.probe_summary(probes, spark.createDataFrame([("a",), ("a",)], "token string")).first()) == (3, 1, 1, 1)

@@ -163,6 +163,15 @@ def test_samples_estimate_weighted_similarity():
     assert abs(same - real) < 0.05
 
 
+def test_words_do_not_depend_on_pieces(monkeypatch):
+    text = "Some words, été and ünïcode " * 30 + "x" * 90 + " end"
+    whole = minhash.words(text)
+    for piece in (7, 40, 64):
+        monkeypatch.setattr(minhash, "PIECE", piece)
+        assert (minhash.words(text) == whole).all()
+    assert len(whole) == 5 * 30 + 2 and len(minhash.words("")) == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(b"b", b"a"), (b"a", b"b"), (b"c", b"b"), (b"z", b"y"), (b"q", b"q"), *((bytes([99, i + 1]), bytes([99, i])) for i in range(40))], "a binary, b binary")
     found = {bytes(r.node): bytes(r.component) for r in components(edges).collect()}

@@ -12,6 +12,7 @@ import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +66,10 @@ def bucket_of(column, modulus: int):
     return F.crc32(column.cast("string")) % modulus
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+def byte_letters() -> dict[int, int]:
+    """What byte-level vocabularies write for bytes that aren't printable: letters from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 class Pieces(dict):
@@ -86,7 +86,7 @@ class Pieces(dict):
     #: Runs of these after a word are a word of their own.
     MARKS = ".,;:!?*#$%&|)(\"-"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,7 +96,7 @@ class Pieces(dict):
         self.letters = byte_letters()
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
-        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+        self.split = self.tokenizer.model.tokenize
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -106,10 +106,10 @@ class Pieces(dict):
         if core.isascii():
             written = low = core.lower()
         else:
-            low = self.normalize(core)
-            if max(low, default="") > "\u024f" or not low.isalpha():  # may be more than a word to the tokenizer
+            low = normalize("NFC", core).lower()
+            if max(low) > "\u024f" or not low.isalpha():  # may be more than a word to the tokenizer
                 return self.plain(core)
-            written = "".join(map(self.letters.__getitem__, low.encode()))
+            written = low.encode().decode("latin-1").translate(self.letters)
         if low != core:
             return self[low]
         return array(self.code, [t.id for t in self.split(written)]).tobytes()

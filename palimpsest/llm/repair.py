@@ -96,11 +96,10 @@ def induce(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Terminals that each rule stands for. Rules only refer to earlier ones."""
-    lengths = np.ones(len(rules), np.int64)
-    sides = rules.astype(np.int64) - first
-    for i, (a, b) in enumerate(sides.tolist()):
-        lengths[i] = (lengths[a] if a >= 0 else 1) + (lengths[b] if b >= 0 else 1)
-    return lengths
+    lengths: list[int] = []
+    for a, b in (rules.astype(np.int64) - first).tolist():
+        lengths.append((lengths[a] if a >= 0 else 1) + (lengths[b] if b >= 0 else 1))
+    return np.array(lengths, np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:

@@ -45,19 +45,20 @@ def tokenize(text: Column, script: Script = DEVANAGARI, least: int = 2, compose:
     return F.filter(runs, lambda t: F.length(t) >= least)
 
 
-def _visible(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", "")
+def visible(text: Column) -> Column:
+    """Number of characters that aren't white space."""
+    return F.length(text) - F.regexp_count(text, F.lit(r"(?U)\s"))
 
 
 def character_counts(text: Column) -> Column:
     """Struct of all and of non-white characters; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.struct(F.length(text).cast("long").alias("characters"), F.length(_visible(text)).cast("long").alias("non_whitespace_characters"))
+    return F.struct(F.length(text).cast("long").alias("characters"), visible(text).cast("long").alias("non_whitespace_characters"))
 
 
 def class_ratio(text: Column, pattern: str) -> Column:
     """Share of the visible characters that match a one-character pattern; 0 if none is visible."""
-    n = F.length(_visible(text))
+    n = visible(text)
     return F.when(n > 0, F.regexp_count(text, F.lit(pattern)).cast("double") / n).otherwise(0.0)
 
 

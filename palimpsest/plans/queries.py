@@ -125,7 +125,7 @@ def char_class_ratios(spark, sf_dir):
   - 0.20 * digits - CASE WHEN visible > 0 AND visible < 6 THEN 0.15 ELSE 0 END) + 0.0000001) AS BIGINT) AS score_thousandths FROM ({RATIOS})""")
 def heuristic_score(spark, sf_dir):
     text, zero = F.col("text"), F.lit(0.0)
-    score = T.heuristic_score(F.lit(0.8), T.script_ratio(text, T.LATIN), zero, zero, T.digit_ratio(text), F.length(F.regexp_replace(text, r"(?U)\s+", "")))
+    score = T.heuristic_score(F.lit(0.8), T.script_ratio(text, T.LATIN), zero, zero, T.digit_ratio(text), T.visible(text))
     return table(spark, sf_dir, "documents").select("doc_id", F.floor(1000 * score + 0.0000001).alias("score_thousandths"))
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,49 @@ def attainable(observed: str, entry: str, dependent: re.Pattern[str]) -> float:
     return 0.6 * most(observed, entry, len(entry) + 2) + 0.3 * bare + prefix_bonus(observed, entry)
 
 
+class Bounds:
+    """:func:`attainable` of many texts against a fixed list of entries at once, by arrays of letter counts."""
+
+    def __init__(self, entries: list[str], dependent: re.Pattern[str]):
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(entries))))}
+        self.bare = [not dependent.fullmatch(c) for c in self.letters]
+        self.entries = [(e, [(self.letters[c], n) for c, n in Counter(e).items()], len(dependent.sub("", e))) for e in entries]
+        self.dependent = dependent
+
+    def pairs(self, texts: list[str], least: float, block: int = 8192) -> Iterator[tuple[int, int]]:
+        """(text, entry) by number, of the pairs that can reach ``least``; no pair that reaches it is missing. Texts are not empty."""
+        for at in range(0, len(texts), block):
+            yield from ((at + i, j) for i, j in self._pairs(texts[at : at + block], least))
+
+    def _pairs(self, texts: list[str], least: float) -> list[tuple[int, int]]:
+        n, k = len(texts), len(self.letters)
+        sizes = np.array([len(t) for t in texts])
+        which = np.array([self.letters.get(c, k) for c in "".join(texts)])
+        counts = np.bincount(which * n + np.repeat(np.arange(n), sizes), minlength=n * (k + 1)).reshape(k + 1, n)
+        bare_sizes = np.array([len(self.dependent.sub("", t)) for t in texts])
+        first, second = np.array([t[0] for t in texts]), np.array([t[:2] for t in texts])
+        held: dict[tuple[int, int], np.ndarray] = {}
+        found = []
+        for j, (entry, letters, bare_size) in enumerate(self.entries):
+            common, bare = np.zeros(n, np.int32), np.zeros(n, np.int32)
+            for letter, count in letters:
+                if (letter, count) not in held:
+                    held[letter, count] = np.minimum(counts[letter], count).astype(np.int32)
+                common += held[letter, count]
+                if self.bare[letter]:
+                    bare += held[letter, count]
+            size = len(entry)
+            long = sizes > size + 2
+            # Long texts: the best window of size + 2 characters, of its skeleton any part.
+            most = np.maximum(2 * common / (sizes + size), np.where(long, common / (size + 1), 0.0))
+            bare_most = np.maximum(2 * bare / np.maximum(bare_sizes + bare_size, 1), np.where(long, 2 * bare / np.maximum(bare + bare_size, 1), 0.0))
+            near = np.flatnonzero(0.6 * most + 0.3 * bare_most + 0.08 >= least - 1e-4)
+            if near.size:
+                bonus = np.where([entry.startswith(t) for t in second[near]], 0.08, np.where(first[near] == entry[:1], 0.03, 0.0))
+                found += [(i, j) for i in near[0.6 * most[near] + 0.3 * bare_most[near] + bonus >= least - 1e-4].tolist()]
+        return found
+
+
 DETAILS = T.StructType([
     T.StructField(name, T.StringType() if name == "best_window" else T.DoubleType())
     for name in ("score", "full_ratio", "full_skeleton_ratio", "window_ratio", "window_skeleton_ratio", "best_window", "prefix_bonus")

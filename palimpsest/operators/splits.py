@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.fuzzy import attainable, token_score
+from palimpsest.functions.fuzzy import Bounds, token_score
 from palimpsest.functions.text import DEVANAGARI, Script, has_morphology, has_split
 from palimpsest.operators.matching import dealt
 
 PER_START = 12
+#: Tokens whose spans are scored together.
+STRETCH = 2000
 STEPS = "array<struct<kind:string,surface:string,normalized:string,score:double,lemma:string,pos:string,gloss:string>>"
 SCHEMA = f"token string, rank int, score double, lexical_steps int, skipped_chars int, split string, interpretation string, steps {STEPS}"
 
@@ -28,19 +30,28 @@ class Entry:
     gloss: str = ""
 
 
-def span_options(token: str, lexicon: list[Entry], least: float, dependent: re.Pattern[str]) -> list[list[tuple[int, float, Entry]]]:
-    """By start: (end, score, entry) of the PER_START weightiest spans of two characters and more."""
+def span_options(tokens: list[str], lexicon: list[Entry], bounds: Bounds, least: float) -> list[list[list[tuple[int, float, Entry]]]]:
+    """By token and start: (end, score, entry) of the PER_START weightiest spans of two characters and more.
+
+    Each distinct span of all tokens is scored once, against the entries that can reach ``least``.
+    """
     reach = max((len(e.normalized) for e in lexicon), default=0) + 2
-    options = []
-    for start in range(len(token)):
-        found = []
-        for end in range(start + 2, min(len(token), start + reach) + 1):
-            text = token[start:end]
-            scored = ((token_score(text, e.normalized, dependent)[0], e) for e in lexicon if attainable(text, e.normalized, dependent) >= least - 1e-4)
-            found += [(end, score, e) for score, e in scored if score >= least]
-        found.sort(key=lambda x: (x[1] * (x[0] - start), -abs(len(x[2].token) - (x[0] - start)), x[1]), reverse=True)
-        options.append(found[:PER_START])
-    return options
+    ends = lambda t, i: range(i + 2, min(len(t), i + reach) + 1)
+    texts = list({t[i:j]: None for t in tokens for i in range(len(t)) for j in ends(t, i)})
+    hits: dict[str, list[tuple[int, float]]] = {}
+    for i, n in bounds.pairs(texts, least):
+        score = token_score(texts[i], lexicon[n].normalized, bounds.dependent)[0]
+        if score >= least:
+            hits.setdefault(texts[i], []).append((n, score))
+    out = []
+    for t in tokens:
+        options = []
+        for start in range(len(t)):
+            found = [(end, score, lexicon[n]) for end in ends(t, start) for n, score in sorted(hits.get(t[start:end], ()))]
+            found.sort(key=lambda x: (x[1] * (x[0] - start), -abs(len(x[2].token) - (x[0] - start)), x[1]), reverse=True)
+            options.append(found[:PER_START])
+        out.append(options)
+    return out
 
 
 def best_paths(token: str, options: list[list[tuple[int, float, Entry]]], k: int, skip: float, split: float) -> list[tuple[float, int, int, tuple]]:
@@ -89,11 +100,14 @@ def segmentations(tokens: DataFrame, lexicon: list[Entry], script: Script = DEVA
     dependent = f"[{script.dependent}]+"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rule = re.compile(dependent)
+        bounds = Bounds([e.normalized for e in shared.value], re.compile(dependent))
         names = [c.split()[0] for c in SCHEMA.split(", ")][:7] + ["steps"]
         for part in parts:
-            rows = [_row(t, n, p) for t in part["token"] for n, p in enumerate(best_paths(t, span_options(t, shared.value, least, rule), k, skip, split), 1)]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(part), STRETCH):
+                some = part["token"][at : at + STRETCH].tolist()
+                options = span_options(some, shared.value, bounds, least)
+                rows = [_row(t, n, p) for t, o in zip(some, options, strict=True) if any(o) for n, p in enumerate(best_paths(t, o, k, skip, split), 1)]
+                yield pd.DataFrame(rows, columns=names)
 
     seen = tokens.select(F.col(token).alias("token")).filter("token <> ''").distinct()
     return dealt(seen, "token").mapInPandas(run, SCHEMA)

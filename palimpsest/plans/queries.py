@@ -536,8 +536,8 @@ def syllable_lattice(spark, sf_dir):
 
 @query()
 def split_kbest(spark, sf_dir):
-    known = splits.entries_of(lexicon(spark, sf_dir).filter(F.length("normalized") >= 4).orderBy("position").limit(60))
-    return splits.segmentations(page_tokens(spark, sf_dir).filter(F.length("token") >= 10), known, T.LATIN, k=3, least=0.85).select("token", "rank", "score", "lexical_steps", "skipped_chars", "split")
+    found = splits.segmentations(line_tokens(spark, sf_dir), splits.entries_of(lexicon(spark, sf_dir)), T.LATIN, k=3, least=0.85)
+    return found.select("token", "rank", "score", "lexical_steps", "skipped_chars", "split")
 
 
 # Streams

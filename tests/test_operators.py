@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import fuzzy
 from palimpsest.functions.text import LATIN
 from palimpsest.operators import bands, chunks, context, geometry, graph, lattice, matching, review, splits, tokens
 
@@ -253,6 +254,26 @@ def test_segmentations(spark):
     assert [r.rank for r in rows if r.token == "sunflower"] == [1, 2, 3]
 
 
+def test_span_bounds_miss_no_pair():
+    rule = re.compile(f"[{LATIN.dependent}]+")
+    words, texts = ["the", "a", "sunflower", "aeiou", "lo", "rhythm"], ["the", "t", "th", "sunflowers", "xsunflowerx", "aeiuo", "eaeiouxyz", "zz", "low", "rhythms", "é𝒳the"]
+    for least in (0.3, 0.58, 0.85):
+        got = {(texts[i], words[j]) for i, j in fuzzy.Bounds(words, rule).pairs(texts, least, block=4)}
+        assert got == {(t, w) for t in texts for w in words if fuzzy.attainable(t, w, rule) >= least - 1e-4}
+
+
+def test_split_query_takes_short_tokens_of_documents_and_all_entries(spark, sf_dir):
+    from palimpsest.plans import queries
+
+    words = [r.normalized for r in queries.lexicon(spark, sf_dir).orderBy("position").collect()]
+    seen = {r.token for r in queries.line_tokens(spark, sf_dir).select("token").distinct().collect()}
+    # Words of vowels alone have no skeleton, which keeps their score below 0.85.
+    wanted = {w for w in words if w in seen and re.search("[^aeiou]", w)}
+    found = {r.token: r.split for r in queries.QUERIES["split_kbest"](spark, sf_dir).filter("rank = 1").collect()}
+    assert wanted <= set(found) <= seen and min(map(len, found)) < 4
+    assert any(w in set(" + ".join(found.values()).split(" + ")) for w in words[100:])
+
+
 # Context
 
 

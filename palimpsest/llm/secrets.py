@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions alone: patterns and a randomness test battery.
 
 Patterns find assignments, access keys and long hexadecimal strings. The battery looks at
-every other run of at least LEAST characters that keys are written in, infers its encoding
+every other run of at least LEAST characters that keys are written in, or where a run has no
+encoding at its parts between '=' and, of parts without one, between '/' and then '+'. It infers the encoding
 and tests it three ways: chi-squared uniformity over the encoding's alphabet, the number of
 runs of letter case and digits, and the serial correlation of neighbouring characters. Each
 statistic gives the probability of so random a look in prose: text whose letters repeat as
@@ -33,6 +34,8 @@ LEAST = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Encodings by pattern, the narrowest first, with the sizes of their alphabets.
 ENCODINGS = ((r"^[0-9]+$", 10), (r"^[0-9a-f]+$", 16), (r"^[0-9A-F]+$", 16), (r"^[a-z]+$", 26), (r"^[A-Z]+$", 26), (r"^[A-Z2-7]+=*$", 32), (r"^[A-Za-z0-9+/]+=*$", 64), (r"^[A-Za-z0-9_-]+=*$", 64))
+#: Where runs without an encoding are cut: '=' before more text, then '/', then '+'.
+CUTS = (r"=+(?=[^=])", "/", r"\+")
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_="
 COLLISION = 0.075
 CHANGES = 0.08
@@ -66,6 +69,28 @@ def _spans(text: Column, pattern: str, found: Column, kind: int, good) -> Column
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda held: held["spans"])).otherwise(none)
 
 
+def _encoded(text: Column) -> Column:
+    return text.rlike("|".join(p for p, _ in ENCODINGS))
+
+
+def _parts(pairs: Column, cut: str) -> Column:
+    """Of an array of (span, of): those with an encoding as they are, the others' parts between ``cut`` that are long enough."""
+
+    def cut_up(pair: Column) -> Column:
+        seams = F.regexp_extract_all(pair["of"], F.lit(cut), F.lit(0))
+        pieces = F.arrays_zip(F.split(pair["of"], cut, -1).alias("p"), seams.alias("m"))
+        none = F.array().cast(f"array<struct<span:{SPAN},of:string>>")
+
+        def step(held: Column, piece: Column) -> Column:
+            end = held["at"] + F.length(piece["p"])
+            part = F.struct(F.struct(held["at"].alias("start"), pair["span"]["kind"].alias("kind"), end.alias("end")).alias("span"), piece["p"].alias("of"))
+            return F.struct((end + F.coalesce(F.length(piece["m"]), F.lit(0))).alias("at"), F.when(F.length(piece["p"]) >= LEAST, F.concat(held["parts"], F.array(part))).otherwise(held["parts"]).alias("parts"))
+
+        return F.aggregate(pieces, F.struct(pair["span"]["start"].alias("at"), none.alias("parts")), step, lambda held: held["parts"])
+
+    return F.flatten(F.transform(pairs, lambda p: F.when(_encoded(p["of"]), F.array(p)).otherwise(cut_up(p))))
+
+
 def _upper_tails(x: Column) -> Column:
     """1 - Phi of each number by the five-term rational approximation of Abramowitz and Stegun, 26.2.17."""
 
@@ -146,13 +171,18 @@ def scanned(docs: DataFrame) -> DataFrame:
         )),
         "scan_places": _spans(text, CANDIDATE, F.col("scan_random"), 3, lambda m: F.lit(True)),
     })
-    pairs = F.arrays_zip(F.col("scan_places").alias("span"), F.col("scan_random").alias("of"))
+    pairs = F.transform(F.arrays_zip(F.col("scan_places").alias("span"), F.col("scan_random").alias("of")), lambda p: F.struct(p["span"].alias("span"), p["of"].alias("of")))
+    rows = rows.withColumn("scan_parts", F.when(F.size("scan_random") > 0, pairs))
+    for cut in CUTS:
+        whole = ~F.exists("scan_parts", lambda p: ~_encoded(p["of"]))
+        rows = rows.withColumn("scan_parts", F.when(whole, F.col("scan_parts")).otherwise(_parts(F.col("scan_parts"), cut)))
+    pairs = F.col("scan_parts")
     apart = F.filter(pairs, lambda p: ~F.exists("scan_base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
     stats = F.transform(apart, lambda p: F.struct(p["span"].alias("span"), _statistics(p["of"]).alias("s")))
     more = _surprises(stats)
     empty = F.array().cast(f"array<struct<span:{SPAN},surprise:double>>")
     rows = rows.withColumn("scan_more", F.when(F.size("scan_random") > 0, more).otherwise(empty))
-    return rows.drop("scan_assign", "scan_access", "scan_hex", "scan_random", "scan_places")
+    return rows.drop("scan_assign", "scan_access", "scan_hex", "scan_random", "scan_places", "scan_parts")
 
 
 def _class(length: Column) -> Column:

@@ -99,6 +99,18 @@ def test_secrets(spark):
     assert secrets.secrets(docs.filter("false")).count() == 0
 
 
+def test_secrets_after_names_and_in_paths(spark):
+    path = "/api/v1/{}/items".format
+    planted = [(f"export KEY={RANDOM[1]} and", RANDOM[1]), (f"client_id={RANDOM[0]}", RANDOM[0]), (f"aws_secret_access_key={RANDOM[0]};", RANDOM[0]), (f"get {path(RANDOM[2])}", RANDOM[2]),
+               (f"set a_b=/{RANDOM[1]}/x_y={RANDOM[2]} now", (RANDOM[1], RANDOM[2])), (f"by_name+{RANDOM[2]} then", RANDOM[2]), (f"é𝒳 key=={RANDOM[1]}== é", RANDOM[1] + "=="), ("a_plain_name=and/some/ordinary_path/of/words", ())]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")
+    rows = secrets.secrets(docs).select("doc_id", "text", F.col("scan_all").alias("all"), secrets.redacted(F.col("text"), F.col("scan_all")).alias("clean")).collect()
+    for r in rows:
+        wanted = planted[r.doc_id][1]
+        wanted = (wanted,) if isinstance(wanted, str) else wanted
+        assert tuple(r.text[x.start : x.end] for x in r.all) == wanted and not any(w in r.clean for w in wanted)
+
+
 def test_secret_scan_is_native(spark, sf_dir):
     plan = secrets.op2_randomness_secrets(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)

@@ -79,12 +79,12 @@ class Bounds:
         self.entries = [(e, [(self.letters[c], n) for c, n in Counter(e).items()], len(dependent.sub("", e))) for e in entries]
         self.dependent = dependent
 
-    def pairs(self, texts: list[str], least: float, block: int = 8192) -> Iterator[tuple[int, int]]:
-        """(text, entry) by number, of the pairs that can reach ``least``; no pair that reaches it is missing. Texts are not empty."""
+    def pairs(self, texts: list[str], least: float, block: int = 8192) -> Iterator[tuple[int, int, float]]:
+        """(text, entry, bound), by number, of the pairs that can reach ``least``; no pair that reaches it is missing. Texts are not empty."""
         for at in range(0, len(texts), block):
-            yield from ((at + i, j) for i, j in self._pairs(texts[at : at + block], least))
+            yield from ((at + i, j, most) for i, j, most in self._pairs(texts[at : at + block], least))
 
-    def _pairs(self, texts: list[str], least: float) -> list[tuple[int, int]]:
+    def _pairs(self, texts: list[str], least: float) -> list[tuple[int, int, float]]:
         n, k = len(texts), len(self.letters)
         sizes = np.array([len(t) for t in texts])
         which = np.array([self.letters.get(c, k) for c in "".join(texts)])
@@ -109,7 +109,9 @@ class Bounds:
             near = np.flatnonzero(0.6 * most + 0.3 * bare_most + 0.08 >= least - 1e-4)
             if near.size:
                 bonus = np.where([entry.startswith(t) for t in second[near]], 0.08, np.where(first[near] == entry[:1], 0.03, 0.0))
-                found += [(i, j) for i in near[0.6 * most[near] + 0.3 * bare_most[near] + bonus >= least - 1e-4].tolist()]
+                total = 0.6 * most[near] + 0.3 * bare_most[near] + bonus
+                good = total >= least - 1e-4
+                found += [(i, j, x) for i, x in zip(near[good].tolist(), total[good].tolist(), strict=True)]
         return found
 
 
@@ -135,6 +137,26 @@ def scored_token(script: Script, least: float = 0.0):
     return scored.asNondeterministic()
 
 
+def best_entries(texts: list[str], entries: list[str], bounds: Bounds, least: float, most: int) -> Iterator[tuple[int, int, int, tuple]]:
+    """(text, entry, rank, details) by number: of each text the ``most`` best entries that score at least ``least``; the first of equals leads.
+
+    Entries are scored in order of their bounds, until no further one can be among the best.
+    """
+    by_text: dict[int, list[tuple[float, int]]] = {}
+    for i, j, bound in bounds.pairs(texts, least):
+        by_text.setdefault(i, []).append((-bound, j))
+    for i, pairs in by_text.items():
+        best: list[tuple[float, int, tuple]] = []
+        for bound, j in sorted(pairs):
+            # A score is rounded, so it may pass its bound a little.
+            if len(best) == most and -bound + 1e-4 < -best[-1][0]:
+                break
+            details = token_score(texts[i], entries[j], bounds.dependent)
+            if details[0] >= least:
+                best = sorted([*best, (-details[0], j, details)], key=lambda x: x[:2])[:most]
+        yield from ((i, j, rank, details) for rank, (_, j, details) in enumerate(best, 1))
+
+
 def span_score(observed: str, skeleton: str, units: int, entry: str, entry_skeleton: str, entry_units: int) -> float:
     """Score of a run of syllables; its text is its syllables joined, so their ratio is the characters'."""
     whole = ratio(observed, entry)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.functions.fuzzy import scored_token
+from palimpsest.functions.fuzzy import DETAILS, Bounds, best_entries, scored_token
 from palimpsest.functions.text import DEVANAGARI, Script
 
 #: Largest lexicon, in rows, that is sent to every executor whole; a larger one is cut into blocks.
 BROADCAST_ROWS = 200_000
+#: Texts whose pairs are bounded together.
+STRETCH = 2000
 TOKEN_THRESHOLD, SPAN_THRESHOLD, REPLACE_THRESHOLD = 0.58, 0.62, 0.78
 
 
@@ -50,16 +57,38 @@ def candidates(tokens: DataFrame, lexicon: DataFrame, script: Script = DEVANAGAR
     n = F.length("observed")
     seen = tokens.select(F.col(token).alias("observed")).distinct().filter("observed <> ''")
     seen = dealt(seen, "observed")
+    rows = lexicon.count()
+    if most > 0 and rows <= BROADCAST_ROWS:
+        return _ranked(seen, known.drop("entry_length").filter("normalized is not null"), script, least, most)
     # Longer texts are also compared by windows two characters longer than the entry.
     window = F.when(n > F.col("entry_length") + 2, F.col("entry_length") + 2).otherwise(n)
     # Skeletons are shorter than their texts and may agree fully: only the weight of the characters is bounded.
     bound = 0.6 * F.greatest(_attainable(n, F.col("entry_length")), _attainable(window, F.col("entry_length"))) + 0.38
-    pairs = against(seen, known, bound >= least, lexicon.count())
+    pairs = against(seen, known, bound >= least, rows)
     scored = pairs.withColumn("details", scored_token(script, least)("observed", "normalized")).withColumn("score", F.col("details.score")).filter(F.col("score") >= least)
     order = Window.partitionBy("observed").orderBy(F.desc("score"), "entry_position")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("entry_length")
 
 
+def _ranked(seen: DataFrame, known: DataFrame, script: Script, least: float, most: int) -> DataFrame:
+    """:func:`candidates` of a lexicon that every task can hold, all entries of a text at a time."""
+    shared = seen.sparkSession.sparkContext.broadcast([tuple(r) for r in known.orderBy("entry_position").collect()])
+    normalized, dependent = known.columns.index("normalized"), f"[{script.dependent}]+"
+    schema = T.StructType([*seen.schema, *known.schema, T.StructField("details", DETAILS), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entries = [e[normalized] for e in shared.value]
+        bounds = Bounds(entries, re.compile(dependent))
+        for part in parts:
+            texts = part["observed"].tolist()
+            for at in range(0, len(texts), STRETCH):
+                some = texts[at : at + STRETCH]
+                rows = [(some[i], *shared.value[j], dict(zip(DETAILS.names, d, strict=True)), d[0], rank) for i, j, rank, d in best_entries(some, entries, bounds, least, most)]
+                yield pd.DataFrame(rows, columns=schema.names)
+
+    return seen.mapInPandas(run, schema)
+
+
 def chosen(tokens: DataFrame, found: DataFrame, replace: float = REPLACE_THRESHOLD, token: str = "token") -> DataFrame:
     """Adds the best entry (``best_entry``, ``best_score``), ``n_candidates`` and ``chosen_token``: the entry if its score is at least ``replace``."""
     per = found.groupBy("observed").agg(F.count("*").alias("n_candidates"), F.max_by("entry", -F.col("rank")).alias("best_entry"), F.max("score").alias("best_score"))

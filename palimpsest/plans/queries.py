@@ -494,34 +494,28 @@ def edit_distance_topk(spark, sf_dir):
     return matching.nearest_by_edits(line_tokens(spark, sf_dir), lexicon(spark, sf_dir)).select("observed", "entry", "distance", "rank")
 
 
-def page_tokens(spark, sf_dir):
-    """Tokens of the benchmark items, for the operators that score by gestalt similarity."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_index"), F.lit(1).alias("entry_index"), F.lit(1).alias("segment_index"), F.lit(1).alias("line_index"), F.lower("text").alias("text"))
-    return tokens.observed_tokens(tokens.ocr_tokens(items, T.LATIN))
-
-
 @query()
 def fuzzy_match_topk(spark, sf_dir):
-    found = matching.candidates(page_tokens(spark, sf_dir), lexicon(spark, sf_dir), T.LATIN)
+    found = matching.candidates(line_tokens(spark, sf_dir), lexicon(spark, sf_dir), T.LATIN)
     return found.select("observed", "entry", "score", "rank")
 
 
 @query()
 def chosen_tokens(spark, sf_dir):
-    seen = page_tokens(spark, sf_dir)
+    seen = line_tokens(spark, sf_dir)
     return matching.chosen(seen, matching.candidates(seen, lexicon(spark, sf_dir), T.LATIN)).select("id", "token", "chosen_token", "best_score", "n_candidates")
 
 
 @query()
 def graph_nodes(spark, sf_dir):
-    seen = page_tokens(spark, sf_dir)
+    seen = line_tokens(spark, sf_dir)
     found = matching.candidates(seen, lexicon(spark, sf_dir), T.LATIN)
     return graph.nodes(matching.chosen(seen, found), found)
 
 
 @query()
 def graph_edges(spark, sf_dir):
-    seen = page_tokens(spark, sf_dir)
+    seen = line_tokens(spark, sf_dir)
     return graph.edges(seen, matching.candidates(seen, lexicon(spark, sf_dir), T.LATIN))
 
 
@@ -529,7 +523,7 @@ def graph_edges(spark, sf_dir):
 def syllable_lattice(spark, sf_dir):
     """Runs of letter pairs stand in for syllables of a script that the tables lack."""
     words = lexicon(spark, sf_dir)
-    seen = page_tokens(spark, sf_dir).select("id", "token").withColumn("units", F.regexp_extract_all("token", F.lit("([a-z]{1,2})"), F.lit(1)))
+    seen = line_tokens(spark, sf_dir).select("id", "token").withColumn("units", F.regexp_extract_all("token", F.lit("([a-z]{1,2})"), F.lit(1)))
     placed = lattice.spans(seen, 4)
     return placed.join(F.broadcast(words.select(F.col("normalized").alias("span"), "position")), "span").select("id", "start", "end", "span")
 

@@ -258,10 +258,31 @@ def test_span_bounds_miss_no_pair():
     rule = re.compile(f"[{LATIN.dependent}]+")
     words, texts = ["the", "a", "sunflower", "aeiou", "lo", "rhythm"], ["the", "t", "th", "sunflowers", "xsunflowerx", "aeiuo", "eaeiouxyz", "zz", "low", "rhythms", "é𝒳the"]
     for least in (0.3, 0.58, 0.85):
-        got = {(texts[i], words[j]) for i, j in fuzzy.Bounds(words, rule).pairs(texts, least, block=4)}
+        got = {(texts[i], words[j]) for i, j, _ in fuzzy.Bounds(words, rule).pairs(texts, least, block=4)}
         assert got == {(t, w) for t in texts for w in words if fuzzy.attainable(t, w, rule) >= least - 1e-4}
 
 
+def test_best_entries_equal_all_scores():
+    rule = re.compile(f"[{LATIN.dependent}]+")
+    words, texts = ["lazy", "lazier", "sun", "sunny", "sunflower", "flower", "low", "lower"], ["lazyy", "sunn", "sunflowers", "flow", "xlowerx", "zz"]
+    for most in (1, 2, 5):
+        got = [(i, j, rank, d[0]) for i, j, rank, d in fuzzy.best_entries(texts, words, fuzzy.Bounds(words, rule), 0.58, most)]
+        scores = [sorted((-s, j) for j, w in enumerate(words) if (s := fuzzy.token_score(t, w, rule)[0]) >= 0.58) for t in texts]
+        assert sorted(got) == sorted((i, j, rank, -s) for i, found in enumerate(scores) for rank, (s, j) in enumerate(found[:most], 1))
+
+
+def test_gestalt_queries_take_all_tokens_of_documents(spark, sf_dir):
+    from palimpsest.plans import queries
+
+    seen = queries.line_tokens(spark, sf_dir).cache()
+    assert queries.QUERIES["chosen_tokens"](spark, sf_dir).count() == seen.count()
+    found = {r.observed for r in queries.QUERIES["fuzzy_match_topk"](spark, sf_dir).select("observed").distinct().collect()}
+    words = {r.normalized for r in queries.lexicon(spark, sf_dir).collect()}
+    tokens_seen = {r.token for r in seen.select("token").distinct().collect()}
+    seen.unpersist()
+    assert {w for w in words & tokens_seen if re.search("[^aeiou]", w)} <= found <= tokens_seen
+
+
 def test_split_query_takes_short_tokens_of_documents_and_all_entries(spark, sf_dir):
     from palimpsest.plans import queries
 

@@ -79,13 +79,17 @@ class Bounds:
         self.entries = [(e, [(self.letters[c], n) for c, n in Counter(e).items()], len(dependent.sub("", e))) for e in entries]
         self.dependent = dependent
 
-    def pairs(self, texts: list[str], least: float, block: int = 8192) -> Iterator[tuple[int, int, float]]:
-        """(text, entry, bound), by number, of the pairs that can reach ``least``; no pair that reaches it is missing. Texts are not empty."""
+    def pairs(self, texts: list[str], least: float, block: int = 8192, spans: bool = False) -> Iterator[tuple[int, int, float]]:
+        """(text, entry, bound), by number, of the pairs that can reach ``least``; no pair that reaches it is missing. Texts are not empty.
+
+        With ``spans`` of :func:`span_score` instead, whose texts count whole.
+        """
         for at in range(0, len(texts), block):
-            yield from ((at + i, j, most) for i, j, most in self._pairs(texts[at : at + block], least))
+            yield from ((at + i, j, most) for i, j, most in self._pairs(texts[at : at + block], least, spans))
 
-    def _pairs(self, texts: list[str], least: float) -> list[tuple[int, int, float]]:
+    def _pairs(self, texts: list[str], least: float, spans: bool) -> list[tuple[int, int, float]]:
         n, k = len(texts), len(self.letters)
+        weight, bare_weight = (0.67, 0.25) if spans else (0.6, 0.3)
         sizes = np.array([len(t) for t in texts])
         which = np.array([self.letters.get(c, k) for c in "".join(texts)])
         counts = np.bincount(which * n + np.repeat(np.arange(n), sizes), minlength=n * (k + 1)).reshape(k + 1, n)
@@ -102,14 +106,14 @@ class Bounds:
                 if self.bare[letter]:
                     bare += held[letter, count]
             size = len(entry)
-            long = sizes > size + 2
+            long = (sizes > size + 2) & (not spans)
             # Long texts: the best window of size + 2 characters, of its skeleton any part.
             most = np.maximum(2 * common / (sizes + size), np.where(long, common / (size + 1), 0.0))
             bare_most = np.maximum(2 * bare / np.maximum(bare_sizes + bare_size, 1), np.where(long, 2 * bare / np.maximum(bare + bare_size, 1), 0.0))
-            near = np.flatnonzero(0.6 * most + 0.3 * bare_most + 0.08 >= least - 1e-4)
+            near = np.flatnonzero(weight * most + bare_weight * bare_most + 0.08 >= least - 1e-4)
             if near.size:
-                bonus = np.where([entry.startswith(t) for t in second[near]], 0.08, np.where(first[near] == entry[:1], 0.03, 0.0))
-                total = 0.6 * most[near] + 0.3 * bare_most[near] + bonus
+                bonus = 0.08 if spans else np.where([entry.startswith(t) for t in second[near]], 0.08, np.where(first[near] == entry[:1], 0.03, 0.0))
+                total = weight * most[near] + bare_weight * bare_most[near] + bonus
                 good = total >= least - 1e-4
                 found += [(i, j, x) for i, x in zip(near[good].tolist(), total[good].tolist(), strict=True)]
         return found

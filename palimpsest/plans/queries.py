@@ -519,13 +519,27 @@ def graph_edges(spark, sf_dir):
     return graph.edges(seen, matching.candidates(seen, lexicon(spark, sf_dir), T.LATIN))
 
 
+def letter_pairs(text):
+    return F.regexp_extract_all(text, F.lit("([a-z]{1,2})"), F.lit(1))
+
+
+def token_lattice(spark, sf_dir):
+    """The lattice of each distinct token: a token is a segment, for words of this script stand apart."""
+    seen = line_tokens(spark, sf_dir).select("token").distinct()
+    return lattice.lattice(seen, lexicon(spark, sf_dir), T.LATIN, text="token", splitter=letter_pairs)
+
+
 @query()
 def syllable_lattice(spark, sf_dir):
     """Runs of letter pairs stand in for syllables of a script that the tables lack."""
-    words = lexicon(spark, sf_dir)
-    seen = line_tokens(spark, sf_dir).select("id", "token").withColumn("units", F.regexp_extract_all("token", F.lit("([a-z]{1,2})"), F.lit(1)))
-    placed = lattice.spans(seen, 4)
-    return placed.join(F.broadcast(words.select(F.col("normalized").alias("span"), "position")), "span").select("id", "start", "end", "span")
+    return token_lattice(spark, sf_dir).select("token", "start", "end", "span", "entry", "score", "rank")
+
+
+@query()
+def best_lattice_spans(spark, sf_dir):
+    """The best span of each token of all lines that has any."""
+    best = lattice.best_spans(token_lattice(spark, sf_dir), ("token",)).select("token", "start", "end", "span", "entry", "score")
+    return line_tokens(spark, sf_dir).select("id", "token").join(best, "token")
 
 
 @query()

@@ -244,6 +244,26 @@ def test_lattice(spark):
     assert lattice.best_spans(found).first().entry == "गण"
 
 
+def test_lattice_query_scores_fuzzy_spans(spark, tmp_path):
+    from palimpsest.plans import queries
+
+    spark.createDataFrame([(1, "sunny garden sunny")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "Gardem xxsunnyyy\nsunny qq")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rule = re.compile(f"[{LATIN.dependent}]+")
+    cut = lambda t: re.findall("[a-z]{1,2}", t)
+    wanted = {}
+    for t in ("gardem", "xxsunnyyy", "sunny", "qq"):
+        for i in range(len(cut(t))):
+            for j in range(i + 1, min(len(cut(t)), i + 8) + 1):
+                span = "".join(cut(t)[i:j])
+                scores = [(-fuzzy.span_score(span, rule.sub("", span), j - i, w, rule.sub("", w), len(cut(w))), n, w) for n, w in enumerate(("sunny", "garden"))]
+                wanted |= {(t, i, j, w): (-s, rank) for rank, (s, _, w) in enumerate(sorted(x for x in scores if -x[0] >= 0.62), 1)}
+    found = {(r.token, r.start, r.end, r.entry): (r.score, r.rank) for r in queries.QUERIES["syllable_lattice"](spark, str(tmp_path)).collect()}
+    assert found == wanted and ("gardem", 0, 3, "garden") in found
+    best = {r.id: (r.span, r.entry) for r in queries.QUERIES["best_lattice_spans"](spark, str(tmp_path)).collect()}
+    assert best["7:1:1"] == ("gardem", "garden") and best["7:2:1"] == ("sunny", "sunny") and len(best) == 3
+
+
 def test_segmentations(spark):
     words = [splits.Entry(w, w, w, "n", w.upper()) for w in ("sun", "flower", "sunflow", "low")]
     rows = splits.segmentations(spark.createDataFrame([("sunflower",), ("xxsunyy",), ("zz",), ("",)], "token string"), words, LATIN, k=3, least=0.95).orderBy("token", "rank").collect()

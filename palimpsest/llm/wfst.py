@@ -1,25 +1,35 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Compiled from a piece model: a normaliser (space to the meta symbol, a meta symbol in
-front), an arc from text to id for each piece, and arcs for the bytes of characters
-without a piece. The model's pieces were learnt by merging, so which path is right depends
-on neighbours: the transducer's states remember the last piece, and an arc leads on only
-if merging the two pieces' text gives the two pieces back. For each text exactly one path
-passes all such arcs, and it is what merging would make of the whole text: merges inside
-two neighbours go as they would anywhere, until one crosses their border. Any other arc
-has infinite weight. Composition with a text is a trellis over its characters, and the
-tropical-semiring shortest path through it is the encoding: each place keeps the one
-piece that ends a path of finite weight there, so later arcs into it are not looked at.
-
-Pieces never hold a meta symbol after another character, so words are separate inputs.
+Compiled from a piece model's file:
+
+* the normaliser: the model's character map, a trie of byte strings and what each becomes
+  (the longest that matches counts), its white-space rules, and the meta symbol for a space;
+* an arc for each piece, from its text to its id: of weight minus its score, or 0 in models
+  learnt by merging, whose scores only say which merge comes first;
+* a byte fallback arc for each character without a piece, of a weight beyond all pieces (or
+  0 in models learnt by merging).
+
+Composed with a text these make a trellis over the characters of the normalised text. Its
+tropical-semiring shortest path is the encoding: the weight of a place is the least sum of
+the weight of an arc's start, the arc's own, and the weight of the step between two arcs.
+
+A step weighs 0 in models of independent pieces (unigram). In models learnt by merging it
+weighs 0 if merging the two pieces' text gives the two pieces back, and infinity otherwise:
+merges inside two neighbours go as they would anywhere, until one crosses their border. For
+each text exactly one path has a finite weight then, and so has each place: it is what
+merging makes of the text up to there. That is why a place needs one entry, its last arc.
+
+Where no piece holds a meta symbol after another character, words are separate inputs.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +41,137 @@ from palimpsest.llm.common import documents
 META = "▁"
 #: Words, and pairs of pieces, whose results a worker holds.
 HELD = 400_000
+INFINITE = math.inf
+# Fixed values of the model format.
+UNIGRAM, MERGES = 1, 2
+NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
+    """(number, value) of a protocol buffer message's fields; fixed-width values as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        n = {1: 8, 5: 4}.get(kind) or varint()
+        yield number, data[at : at + n]
+        at += n
+
+
+class Normaliser:
+    """The text that a model's pieces are matched with, by its ``normalizer_spec``."""
+
+    def __init__(self, spec: bytes):
+        held = dict(_fields(spec))
+        self.prefix, self.squeeze, self.escape = (bool(held.get(n, 1)) for n in (3, 4, 5))
+        chars = bytes(held.get(2, b""))
+        size = int.from_bytes(chars[:4], "little") if chars else 0
+        self.units, self.texts = array("I", chars[4 : 4 + size]), chars[4 + size :]
+
+    def longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
+        """(what it becomes, end) of the longest entry of the character map at a place."""
+        units, found = self.units, None
+        node = units[0]
+        place = (node >> 10) << ((node & 0x200) >> 6)
+        while at < len(data):
+            place ^= data[at]
+            if place >= len(units):
+                break
+            node = units[place]
+            if node & 0x800000FF != data[at]:
+                break
+            at += 1
+            place ^= (node >> 10) << ((node & 0x200) >> 6)
+            if node >> 8 & 1:
+                start = units[place] & 0x7FFFFFFF
+                found = self.texts[start : self.texts.index(0, start)], at
+        return found
+
+    def mapped(self, text: str) -> str:
+        if not len(self.units):
+            return text
+        data, out, at = text.encode(errors="replace"), [], 0
+        while at < len(data):
+            found = self.longest(data, at)
+            if found is None:
+                n = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+                found = data[at : at + n], at + n
+            out.append(found[0])
+            at = found[1]
+        return b"".join(out).decode()
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.squeeze:
+            text = " ".join(w for w in text.split(" ") if w)
+        if not text:
+            return ""
+        return (" " * self.prefix + text).replace(" ", META if self.escape else " ")
 
 
 class Transducer:
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        kinds = [(i, model.id_to_piece(i)) for i in range(model.vocab_size())]
-        self.pieces = {p: i for i, p in kinds if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-        self.score = {p: model.get_score(i) for p, i in self.pieces.items()}
+        self.compile(sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto())
+
+    @classmethod
+    def of(cls, model: bytes) -> Transducer:
+        """From a model's bytes."""
+        held = cls.__new__(cls)
+        held.compile(model)
+        return held
+
+    def compile(self, model: bytes) -> None:
+        import ahocorasick
+
+        pieces, trainer, normaliser = [], {}, b""
+        for number, value in _fields(model):
+            if number == 1:
+                x = dict(_fields(value))
+                pieces.append((x[1].decode(), struct.unpack("<f", x.get(2, bytes(4)))[0], x.get(3, NORMAL)))
+            elif number == 2:
+                trainer = dict(_fields(value))
+            elif number == 3:
+                normaliser = value
+        if trainer.get(3, UNIGRAM) not in (UNIGRAM, MERGES) or any(kind == USER for *_, kind in pieces) or trainer.get(24, 0):
+            raise ValueError("only unigram and merging models without user-defined symbols or suffixed spaces")
+        self.normalise = Normaliser(normaliser)
+        self.merging = trainer.get(3, UNIGRAM) == MERGES
+        self.pieces = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
+        self.score = {p: pieces[i][1] for p, i in self.pieces.items()}
+        self.weight = {p: 0.0 if self.merging else -s for p, s in self.score.items()}
+        #: Of a character without a piece: ten more than the worst piece.
+        self.beyond = 0.0 if self.merging else max(self.weight.values(), default=0.0) + 10
         self.rank = {p: n for n, p in enumerate(sorted(self.pieces, key=lambda p: -self.score[p])) if len(p) > 1}
-        self.bytes = {int(p[3:5], 16): i for i, p in kinds if model.is_byte(i)}
-        self.unknown = model.unk_id()
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
+        self.unknown = next((i for i, (*_, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.text = {i: p for p, i in self.pieces.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.whole = any(META in p.lstrip(META) for p in self.pieces)
         self.words: dict[str, bytes] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.steps: dict[tuple[str, str], bool] = {}
         #: The last merge of each piece that merging makes at all.
         self.halves: dict[str, tuple[str, str]] = {}
         self.arcs = ahocorasick.Automaton()
         for p in self.pieces:
-            if len(p) == 1 or self.merged(p) == [p]:
+            if len(p) == 1 or not self.merging or self.merged(p) == [p]:
                 self.arcs.add_word(p, p)
+        self.single = frozenset(p for p in self.pieces if len(p) == 1)
         self.arcs.make_automaton()
 
     def merged(self, text: str) -> list[str]:
@@ -92,32 +208,53 @@ class Transducer:
             else:
                 return True
 
+    def step(self, a: str, b: str) -> bool:
+        """Whether the step between two arcs has a finite weight."""
+        good = self.steps.get((a, b))
+        if good is None:
+            if len(self.steps) >= HELD:
+                self.steps.clear()
+            good = self.steps[a, b] = not self.merging or self.fits(a, b)
+        return good
+
+    def composed(self, word: str) -> Iterable[tuple[int, str]]:
+        """(last place, text) of all arcs of ``word``'s trellis, by place, the longer first."""
+        arcs = self.arcs.iter(word)
+        if self.single.issuperset(word):
+            return arcs
+        fallback = [(i, c) for i, c in enumerate(word) if c not in self.single]
+        return sorted([*arcs, *fallback], key=lambda x: (x[0], -len(x[1])))
+
     def shortest(self, word: str) -> list[str]:
-        """Texts of the arcs of the shortest path through ``word``'s trellis."""
-        last: list[str | None] = [None] * (len(word) + 1)
-        follows = self.follows
-        for end, arc in self.arcs.iter(word):
+        """Texts of the arcs of the shortest path through ``word``'s trellis; of equal ones the one whose last arc is longer."""
+        n = len(word)
+        cost, last = [0.0] + [INFINITE] * n, [""] * (n + 1)
+        weight, steps, beyond, merging = self.weight, self.steps, self.beyond, self.merging
+        least = 0.0 if merging else -INFINITE  # of any path
+        for end, arc in self.composed(word):
             end += 1
-            if last[end] is None:
-                if start := end - len(arc):
-                    before = last[start]
-                    if before is None:  # a character without a piece, which nothing merges with
-                        last[start] = before = word[start - 1]
-                    good = follows.get((before, arc))
-                    if good is None:
-                        if len(follows) >= HELD:
-                            follows.clear()
-                        good = follows[before, arc] = self.fits(before, arc)
-                    if not good:
+            if cost[end] <= least:
+                continue
+            start = end - len(arc)
+            total = cost[start] + (0.0 if merging else weight.get(arc, beyond))
+            if total < cost[end]:
+                if start and merging:
+                    good = steps.get((last[start], arc))
+                    if not (self.step(last[start], arc) if good is None else good):
                         continue
-                last[end] = arc
-        out, end = [], len(word)
+                cost[end], last[end] = total, arc
+        out, end = [], n
         while end:
-            arc = last[end] or word[end - 1]
-            out.append(arc)
-            end -= len(arc)
+            out.append(last[end])
+            end -= len(last[end])
         return out[::-1]
 
+    def cost(self, path: list[str]) -> float:
+        """Weight of a path by its arcs."""
+        if not all(self.step(a, b) for a, b in pairwise(path)):
+            return INFINITE
+        return sum(self.weight.get(arc, self.beyond) for arc in path)
+
     def ids(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
@@ -128,7 +265,7 @@ class Transducer:
                     out.append(i)
                 elif self.bytes:
                     out.extend(self.bytes[b] for b in arc.encode())
-                else:
+                elif not out or out[-1] != self.unknown:
                     out.append(self.unknown)
             found = out.tobytes()
             if len(word) <= 64:
@@ -139,13 +276,16 @@ class Transducer:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text. Null and empty texts have none."""
+        return self.encode_normal(self.normalise(text or ""))
+
+    def encode_normal(self, text: str) -> np.ndarray:
+        """Ids of a normalised text."""
         if not text:
             return np.zeros(0, np.uint32)
-        text = META + text.replace(" ", META)
-        if self.whole:
+        if self.whole or text[0] != META:
             return np.frombuffer(self.ids(text), np.uint32)
         words = [META + w for w in text.split(META)[1:]]
-        if "" in words or META in words:  # meta symbols in a row belong to one input
+        if META in words:  # meta symbols in a row belong to one input
             joined: list[str] = []
             for w in words:
                 if joined and joined[-1].strip(META) == "":
@@ -178,7 +318,12 @@ def transducer(path: str) -> Transducer:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, ids (little-endian u32), and whether decoding gives the text back."""
+    """Per row of ``docs`` (doc_id, text, any more): doc_id, ids (little-endian u32), and whether decoding gives the normalised text back.
+
+    Null and empty texts have no ids; an empty table gives no rows; repeated rows are encoded
+    each; texts of any length are encoded whole. Of paths of equal weight the one whose last
+    arc is longer counts (in merging models no two paths have a finite weight).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = transducer(path)
@@ -186,9 +331,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids, same = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                found = held.encode(text)
+                normal = held.normalise(text)
+                found = held.encode_normal(normal)
                 ids.append(found.tobytes())
-                same.append(held.decode(found) == text.replace(META, " "))
+                same.append(held.decode(found) == normal.removeprefix(META).replace(META, " "))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(same)], names=["doc_id", "ids", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, round_trip boolean")

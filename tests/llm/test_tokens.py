@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -141,3 +142,68 @@ def test_transducer_gives_the_librarys_ids(library, text):
 def test_transducer_query(spark):
     got = wfst.encode(frame(spark, DOCS), wfst.piece_model()).collect()
     assert len(got) == len(DOCS) and all(r.round_trip for r in got)
+
+
+def test_transducer_of_no_rows(spark):
+    assert wfst.encode(frame(spark, []), wfst.piece_model()).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from("▁aehnrst日"), min_size=1, max_size=7))
+def test_no_path_weighs_less(library, word):
+    own = library[1]
+    paths = [[]]
+    ends = {}
+    for end, arc in own.composed(word):
+        ends.setdefault(end + 1 - len(arc), []).append(arc)
+    whole = []
+    while paths:
+        path = paths.pop()
+        at = sum(map(len, path))
+        if at == len(word):
+            whole.append(path)
+        paths += [[*path, arc] for arc in ends.get(at, [])]
+    best = own.shortest(word)
+    assert best in whole and own.cost(best) == min(map(own.cost, whole)) < wfst.INFINITE
+    assert [p for p in whole if own.cost(p) < wfst.INFINITE] == [best]
+
+
+def message(*fields):
+    """A protocol buffer message of (number, bytes, int or float)."""
+
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """A model of independent pieces with byte fallback, and a normaliser that changes texts."""
+    import sentencepiece
+
+    normaliser = next(bytes(v) for n, v in wfst._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if n == 3)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    pieces += [(p, -1.0 - i / 7, 1) for i, p in enumerate(["▁a", "ab", "▁", "a", "b", "abc", "c", "bc", "▁abca", "1", "12", "k", "▁k", "é"])]
+    proto = message(*((1, message((1, p.encode()), (2, w), (3, k))) for p, w, k in pieces), (2, message((3, 1), (35, 1))), (3, normaliser))
+    return sentencepiece.SentencePieceProcessor(model_proto=proto), wfst.Transducer.of(proto)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abck12 é  ①ﬁＡ㎏\u3000\t½日e\u0301\ufeff\n"), max_size=30))
+def test_transducer_normalises_and_weighs_pieces(unigram, text):
+    model, own = unigram
+    assert own.normalise(text) == ("▁" if model.normalize(text) and not model.normalize(text).startswith("▁") else "") + model.normalize(text)
+    assert own.encode(text).tolist() == model.encode(text)
+    assert own.decode(own.encode(text)) == own.normalise(text).removeprefix("▁").replace("▁", " ")

@@ -8,7 +8,7 @@ payload``). A block holds whole documents; its payload is self-contained:
     documents' ids (i64) and null marks (u8), documents' token counts (u32)
 
 Re-Pair replaces frequent pairs of adjacent ids by nonterminals, again and again. Here
-one round replaces every pair that is at least a sixteenth as frequent as the most
+one round replaces every pair that is at least a thirty-second as frequent as the most
 frequent one (a vectorised batch), the more frequent pair winning where two overlap. It
 ends when no pair is frequent or a round shortens the block by less than ``LEAST_GAIN``.
 """
@@ -34,10 +34,10 @@ BLOCK_TOKENS = 1 << 19
 #: A pair must save at least as many symbols as this to become a rule.
 MIN_COUNT = 16
 #: Pairs at least 1 / SPREAD as frequent as the most frequent one are replaced in one round.
-SPREAD = 16
+SPREAD = 32
 #: Share of the symbols that a round must save for another to follow.
 LEAST_GAIN = 0.005
-HASH_BITS = 16
+HASH_BITS = 18
 
 
 def induce(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -68,12 +68,19 @@ def induce(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
         rank = np.repeat(rank, sizes)
         near = np.full(len(current) + 2, none, np.int32)  # near[i + 1]: rank of the pair at i
         near[at + 1] = rank
+        twin = key[starts[chosen]]
+        twin = np.append(twin >> np.uint64(32) == twin & np.uint64(0xFFFFFFFF), False)
+        if twin.any():  # in a run of one id every other place has a pair of it
+            run = np.sort(at[twin[rank]])
+            begin = np.flatnonzero(np.concatenate(([True], np.diff(run) != 1)))
+            odd = (run - np.repeat(run[begin], np.diff(np.append(begin, len(run))))) & 1
+            near[run[odd > 0] + 1] = none
         at = at[rank < none]
         here = near[at + 1]
         won = (here < near[at]) & (here <= near[at + 2])  # no two of these overlap
         at, here = at[won], here[won]
         kept = np.flatnonzero(np.bincount(here, minlength=none) >= min_count // 2) if none else chosen
-        if not len(kept):  # slots shared by several pairs, or pairs that overlap themselves
+        if not len(kept):  # slots shared by several pairs
             if least == min_count:
                 break
             limit = least
@@ -158,23 +165,43 @@ class Block:
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, null, strict=True)]
         self.doc_tokens = take("<u4", n_docs).astype(np.int64)
         self._ends: np.ndarray | None = None
+        self.touched = 0
 
     def all(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.first)
 
     def tokens(self, start: int, length: int) -> np.ndarray:
-        """Ids from ``start`` on: only the symbols that cover them are expanded."""
+        """Ids from ``start`` on: of the symbols that cover them only the rules that are needed are taken apart.
+
+        ``touched`` counts these. A side of a rule that ends before the range, or begins after
+        it, is passed over by its expansion length.
+        """
         if self._ends is None:
             size = np.ones(len(self.symbols), np.int64)
             deep = self.symbols >= self.first
             size[deep] = self.lengths[self.symbols[deep] - np.uint32(self.first)]
             self._ends = np.cumsum(size)
+        self.touched = 0
         if length <= 0 or not len(self._ends):
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self._ends, start, side="right"))
         b = int(np.searchsorted(self._ends, start + length - 1, side="right")) + 1
-        before = int(self._ends[a - 1]) if a else 0
-        return expand(self.symbols[a:b], self.rules, self.first)[start - before : start - before + length]
+        at = int(self._ends[a - 1]) if a else 0
+        out, end, first = [], start + length, self.first
+        todo = self.symbols[a:b][::-1].tolist()
+        while todo and at < end:
+            symbol = todo.pop()
+            n = int(self.lengths[symbol - first]) if symbol >= first else 1
+            if at + n <= start:
+                at += n
+            elif symbol < first:
+                out.append(symbol)
+                at += 1
+            else:
+                self.touched += 1
+                left, right = self.rules[symbol - first].tolist()
+                todo += [right, left]
+        return np.array(out, np.uint32)
 
 
 BLOCKS = T.StructType([

@@ -48,6 +48,45 @@ def test_random_access():
     assert block.doc_ids == [4, None] and len(block.symbols) < len(ids) and (block.all() == ids).all()
     for start, n in ((0, 1), (4990, 30), (8000, 1500), (19_999, 1), (0, 0)):
         assert (block.tokens(start, n) == ids[start : start + n]).all()
+        depth = int(np.log2(block.lengths.max())) * 2 + 2
+        assert block.touched <= 2 * n + 2 * depth
+    assert block.tokens(6000, 1).tolist() == [7] and 0 < block.touched < len(block.rules) / 4
+
+
+def plain_repair(ids, least):
+    """The textbook form: the most frequent pair, one at a time, until none is as frequent as ``least``."""
+    ids, rules = list(ids), []
+    while True:
+        counts, before = {}, None
+        for i in range(len(ids) - 1):
+            pair = (ids[i], ids[i + 1])
+            if before == (i - 1, pair):  # aaa holds one pair
+                before = None
+                continue
+            counts[pair], before = counts.get(pair, 0) + 1, (i, pair)
+        top = max(counts, key=counts.get, default=None)
+        if top is None or counts[top] < least:
+            return ids, rules
+        out, i = [], 0
+        while i < len(ids):
+            if tuple(ids[i : i + 2]) == top:
+                out.append(1000 + len(rules))
+                i += 2
+            else:
+                out.append(ids[i])
+                i += 1
+        ids, rules = out, [*rules, top]
+
+
+def test_grammar_against_plain_repair():
+    draw = np.random.default_rng(3)
+    words = [draw.integers(0, 40, n).tolist() for n in (3, 4, 5, 6, 7, 8, 9)]
+    ids = np.array(sum((words[i] for i in draw.integers(0, len(words), 600)), []), np.uint32)
+    want, rules = plain_repair(ids.tolist(), 16)
+    symbols, own, first = repair.induce(ids, 16)
+    assert (repair.expand(symbols, own, first) == ids).all()
+    size = lambda s, r: len(s) + 2 * len(r)
+    assert size(symbols, own) <= 1.3 * size(want, rules) < 0.4 * len(ids)
 
 
 def frame(spark, rows):

@@ -13,6 +13,7 @@ Every block is held against all queries, in chunks: the search is exact for any
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
-from palimpsest.llm.vectors import matrix
+from palimpsest.llm.vectors import dimensions, matrix
 
 #: Rows of a block: its bitmaps are 4 KB each.
 BLOCK_ROWS = 32_768
@@ -30,29 +31,40 @@ QUERY_CHUNK = 1024
 SCALE = 64.0
 
 
+def _bitmap(ones: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, the least one first."""
+    packed = np.zeros((len(ones) + 63) // 64 * 8, np.uint8)
+    found = np.packbits(ones, bitorder="little")
+    packed[: len(found)] = found
+    return packed.view(np.uint64)
+
+
 class Slices:
     """Bit slices of a block: ``bits[d][b]`` is the bitmap of bit b of dimension d, less ``low[d]``."""
 
-    def __init__(self, values: np.ndarray):
-        self.rows, dims = values.shape
-        self.low = values.min(axis=0) if self.rows else np.zeros(dims, np.int64)
-        self.high = values.max(axis=0) if self.rows else np.zeros(dims, np.int64)
-        words = (self.rows + 63) // 64
-        shifted = (values - self.low).astype(np.uint64)
-        self.bits: list[list[np.ndarray]] = []
-        for d in range(dims):
-            width = int(self.high[d] - self.low[d]).bit_length()
-            planes = []
-            for b in range(width):
-                packed = np.zeros(words * 8, np.uint8)
-                found = np.packbits((shifted[:, d] >> np.uint64(b)).astype(np.uint8) & 1, bitorder="little")
-                packed[: len(found)] = found
-                planes.append(packed.view(np.uint64))
-            self.bits.append(planes)
-        every = np.zeros(words * 8, np.uint8)
-        ones = np.packbits(np.ones(self.rows, np.uint8), bitorder="little")
-        every[: len(ones)] = ones
-        self.every = every.view(np.uint64)
+    def __init__(self, rows: int, low: np.ndarray, bits: list[list[np.ndarray]]):
+        self.rows, self.low, self.bits = rows, low, bits
+        self.every = _bitmap(np.ones(rows, np.uint8))
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Slices:
+        low = values.min(axis=0)
+        shifted = (values - low).astype(np.uint64)
+        widths = [int(x).bit_length() for x in shifted.max(axis=0)]
+        return cls(len(values), low, [[_bitmap((shifted[:, d] >> np.uint64(b)).astype(np.uint8) & 1) for b in range(width)] for d, width in enumerate(widths)])
+
+    def dumped(self) -> bytes:
+        """Rows and dimensions, least numbers, widths, bitmaps."""
+        widths = np.array([len(p) for p in self.bits], "<i8")
+        return b"".join((np.array([self.rows, len(self.low)], "<i8").tobytes(), self.low.astype("<i8").tobytes(), widths.tobytes(), *(p.tobytes() for planes in self.bits for p in planes)))
+
+    @classmethod
+    def loaded(cls, data: bytes) -> Slices:
+        rows, dims = np.frombuffer(data, "<i8", 2).tolist()
+        low, widths = np.frombuffer(data, "<i8", 2 * dims, 16).reshape(2, dims)
+        words = (rows + 63) // 64
+        planes = iter(np.frombuffer(data, np.uint64, offset=16 + 16 * dims).reshape(-1, words))
+        return cls(rows, low, [[next(planes) for _ in range(w)] for w in widths.tolist()])
 
     def score(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the inner product with ``query``, least significant first, and what to add to it.
@@ -135,47 +147,70 @@ class Slices:
         return rows[order], scores[order]
 
 
-def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        at, x = matrix(batch.column("embedding"), nonzero=False)
-        values = np.floor(SCALE * x).astype("<i8")
-        slot = (np.arange(n, n + len(at), dtype=np.int64) << 24) + task
-        n += len(at)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array(slot), pa.array([v.tobytes() for v in values], pa.binary())], names=["vec_id", "slot", "v"])
+def _quantised(size: int):
+    # So large that a score's sum stays in 64 bits.
+    most = math.isqrt((1 << 62) // max(size, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at, x = matrix(batch.column("embedding"), size, nonzero=False)
+            values = np.floor(SCALE * x)
+            if len(values) and np.abs(values).max() > most:
+                raise ValueError(f"a component beyond {most / SCALE:g} in {size} dimensions: scores would not fit a long")
+            values = values.astype("<i8")
+            slot = (np.arange(n, n + len(at), dtype=np.int64) << 24) + task
+            n += len(at)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array(slot), pa.array([v.tobytes() for v in values], pa.binary())], names=["vec_id", "slot", "v"])
+
+    return run
 
 
 def search(rows: DataFrame, every: int, k: int) -> DataFrame:
     """For each row whose vec_id ``every`` divides: its ``k`` best other rows.
 
     Rows with a null vec_id, and vectors that are null or hold null or non-finite
-    components, take no part. Rows with the query's vec_id are not its candidates. Returns
-    query_id, rank, vec_id, score; nothing for an empty table.
+    components, or not as many components as most, take no part. Rows with the query's
+    vec_id are not its candidates; a vec_id that repeats is a candidate with each vector, and
+    as a query it has one list, of the best over its vectors. Returns query_id, rank, vec_id,
+    score; nothing for an empty table. Components so large that a score might not fit a
+    long (2^31 / sqrt(dimensions) / 64 and more) are an error, not a wrong score.
     """
-    values = written(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(_quantised, "vec_id long, slot long, v binary"), "quantised")
+    size = dimensions(rows)
+    values = written(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(_quantised(size), "vec_id long, slot long, v binary"), "quantised")
     total = values.count()
     blocks, chunks = max(1, -(-total // BLOCK_ROWS)), max(1, -(-total // (every * QUERY_CHUNK)))
-    block, chunk = F.pmod(F.xxhash64("slot"), F.lit(blocks)), F.pmod(F.hash("slot"), F.lit(chunks))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    held = values.select(block.alias("block"), "vec_id", "v").withColumn("chunk", spread(chunks))
-    queries = values.filter(F.col("vec_id") % every == 0).select(chunk.cast("long").alias("chunk"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("block", spread(blocks))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
-        if len(left) and len(right):
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            data = left.column("v").to_pylist()
-            index = Slices(np.stack([np.frombuffer(data[i], "<i8") for i in order]))
-            for query, q in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist(), strict=True):
-                own = range(int(np.searchsorted(ids, query)), int(np.searchsorted(ids, query, side="right")))
-                found, scores = index.top(np.frombuffer(q, "<i8"), k, own)
+
+    def sliced(part: pa.Table) -> pa.Table:
+        ids = part.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        data = part.column("v").to_pylist()
+        index = Slices.of(np.stack([np.frombuffer(data[i], "<i8") for i in order]))
+        return pa.table({"block": part.column("block")[:1], "ids": pa.array([ids[order].astype("<i8").tobytes()]), "index": pa.array([index.dumped()])})
+
+    def gathered(part: pa.Table) -> pa.Table:
+        return pa.table({"chunk": part.column("chunk")[:1], "queries": pa.array([part.column("query_id").to_numpy().astype("<i8").tobytes()]), "q": pa.array([b"".join(part.column("q").to_pylist())])})
+
+    # Each block is sliced once, each chunk of queries put together once; then every block meets every chunk.
+    held = values.select(F.pmod(F.xxhash64("slot"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    index = written(held.groupBy("block").applyInArrow(sliced, "block int, ids binary, index binary"), "slices")
+    asked = values.filter(F.col("vec_id") % every == 0).select(F.pmod(F.hash("slot"), F.lit(chunks)).cast("int").alias("chunk"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = written(asked.groupBy("chunk").applyInArrow(gathered, "chunk int, queries binary, q binary"), "query-chunks")
+    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(part: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+        for row in part.to_pylist():
+            ids, block = np.frombuffer(row["ids"], "<i8"), Slices.loaded(row["index"])
+            own, q = np.frombuffer(row["queries"], "<i8"), np.frombuffer(row["q"], "<i8")
+            for query, vector in zip(own.tolist(), q.reshape(len(own), -1), strict=True):
+                leave = range(int(np.searchsorted(ids, query)), int(np.searchsorted(ids, query, side="right")))
+                found, scores = block.top(vector, k, leave)
                 out.append(np.stack([np.full(len(found), query), ids[found], scores]))
-        flat = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": flat[2]})
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), np.concatenate(out, axis=1), strict=True)))
 
-    found = held.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInArrow(best, "query_id long, vec_id long, score long")
+    # One row, a block's slices and a chunk's queries, is a group.
+    found = spread.join(index, "block").groupBy("block", "chunk").applyInArrow(best, "query_id long, vec_id long, score long")
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

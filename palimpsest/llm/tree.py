@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
-from palimpsest.llm.vectors import matrix
+from palimpsest.llm.vectors import dimensions, matrix
 
 #: The tree is fitted on at most this many rows, those with the least hashes of their ids.
 SAMPLE_ROWS = 32_768
@@ -176,15 +176,17 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
     """For each row whose vec_id ``every`` divides: the ``k`` nearest other rows that were found.
 
     Rows with a null vec_id, and vectors that are null, zero or hold null or non-finite
-    components, take no part. Rows with the query's vec_id are not its candidates. Returns
-    query_id, rank, vec_id, score; nothing for an empty table.
+    components, or not as many components as most, take no part. Rows with the query's
+    vec_id are not its candidates; a vec_id that repeats is a candidate with each vector, and
+    as a query it has one list, of the best over its vectors. Returns query_id, rank, vec_id,
+    score; nothing for an empty table.
     """
-    spark = rows.sparkSession
+    spark, size = rows.sparkSession, dimensions(rows)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            at, x = matrix(batch.column("embedding"), nonzero=True)
+            at, x = matrix(batch.column("embedding"), size, nonzero=True)
             slot = (np.arange(n, n + len(at), dtype=np.int64) << 24) + task
             n += len(at)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array(slot), pa.array((x * x).sum(axis=1) if len(x) else np.zeros(0)), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "slot", "squared", "v"])

@@ -55,7 +55,7 @@ def test_bit_slices_are_exact(spark, monkeypatch, block):
 def test_bit_slice_sums():
     draw = np.random.default_rng(1)
     values, query = draw.integers(-40, 40, (130, 5)), draw.integers(-40, 40, 5)
-    rows, scores = bitslice.Slices(values).top(query, 130)
+    rows, scores = bitslice.Slices.loaded(bitslice.Slices.of(values).dumped()).top(query, 130)
     assert (scores == values[rows] @ query).all() and sorted(rows.tolist()) == list(range(130))
 
 
@@ -66,6 +66,21 @@ def test_few_or_no_vectors(spark):
     assert tree.search(few.filter("false"), 20, 5).count() == bitslice.search(few.filter("false"), 20, 5).count() == 0
 
 
+def test_lengths_and_repeats(spark):
+    rows = [(9, [1.0, 2.0, 3.0], ""), (0, [1.0, 1.0], ""), (0, [2.0, 0.0], ""), (1, [1.0, 0.0], ""), (1, [0.0, 1.0], ""), (2, [3.0, 0.0], "")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, KIND).coalesce(1).repartition(parts)
+        assert [(r.vec_id, r.score) for r in tree.search(df, 20, 3).orderBy("rank").collect()] == [(2, 6.0), (2, 3.0), (1, 2.0)]
+        assert [(r.vec_id, r.score) for r in bitslice.search(df, 20, 3).orderBy("rank").collect()] == [(2, 24576), (2, 12288), (1, 8192)]
+
+
+def test_scores_that_fit_no_long(spark):
+    large = spark.createDataFrame([(0, [1e6, -1e6], ""), (1, [1e6, 1e6], ""), (2, [-1e6, 1e6], "")], KIND)
+    assert [(r.vec_id, r.score) for r in bitslice.search(large, 20, 5).orderBy("rank").collect()] == [(1, 0), (2, -2 * 64_000_000**2)]
+    with pytest.raises(Exception, match="would not fit a long"):
+        bitslice.search(spark.createDataFrame([(0, [1e30], ""), (1, [1.0], "")], KIND), 20, 5).collect()
+
+
 def test_tree_recall_and_ties(spark, monkeypatch):
     monkeypatch.setattr(tree, "LEAF_ROWS", 30)
     monkeypatch.setattr(tree, "PART_ROWS", 50)

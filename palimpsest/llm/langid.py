@@ -3,9 +3,8 @@
 Each language has a Zstandard raw-content dictionary of its own training text; a text's
 language is the one whose dictionary makes it smallest. Texts are lower-cased, reduced to
 letters, and compressed whole, in independent chunks so that the dictionary counts to the
-end of long texts. A text is rejected if it has no letter, or if it is long enough to
-tell (``TELLING`` bytes of letters) and yet no language is better than the next by
-``MARGIN`` of the size: short texts of any language have such narrow margins.
+end of long texts. A text is rejected if it has no letter, or if no language is better
+than the next by ``MARGIN`` of the size, at any length: of short texts that means ties.
 """
 
 from __future__ import annotations
@@ -14,18 +13,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bucket_of, documents
 
-#: Fitting reads about this many training texts of each language, none longer than LONGEST characters.
+#: Fitting collects at most this many distinct texts of each language, those with the least hashes, and of longer ones a part.
 SAMPLE_TEXTS = 600
-LONGEST = 6000
+EXCERPT = 6000
 DICTIONARY_BYTES = 131_072
 LEVEL = 6
 CHUNK = 8192
-TELLING = 400
 MARGIN = 0.004
 #: Bits of code length count as this many bits of evidence in ``score``.
 EVIDENCE = 0.25
@@ -39,19 +37,26 @@ def letters(text: str) -> bytes:
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of ``docs`` (text, lang), the most frequent first.
 
-    Null texts and languages are left out. The sample is drawn by a hash of the text.
+    Null texts and languages, and texts without a character, are left out. Repeated texts
+    count once in the sample. A text of more than EXCERPT characters gives that many, from a
+    place that its hash chooses. The driver gets a row for each language, and the sample.
     """
-    known = docs.filter("text is not null and lang is not null and char_length(text) between 1 and %d" % LONGEST).select("text", "lang")
+    known = docs.filter("text <> '' and lang is not null").select("lang", "text", F.xxhash64("text").alias("place"))
     counts = dict(known.groupBy("lang").count().collect())
     if not counts:
         return {}
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_TEXTS / n))))
-    place = F.abs(F.xxhash64("text") % 1_000_000) / 1_000_000
-    rows = known.filter(place < rate[F.col("lang")]).select("lang", "text", place.alias("place")).collect()
+    order = Window.partitionBy("lang").orderBy("place")
+    least = known.select("lang", "place").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
+    limits = dict(least.groupBy("lang").agg(F.max("place")).collect())
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+    start = F.pmod("place", F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))).cast("int")
+    part = F.substring(F.col("text"), start + 1, F.lit(EXCERPT)).alias("text")
+    rows = known.filter(F.col("place") <= limit[F.col("lang")]).select("lang", "place", part).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.place, r.text))
     found: dict[str, bytes] = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         held, size = [], 0
-        for text in dict.fromkeys(r.text for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.place, r.text))):
+        for text in (r.text for r in rows if r.lang == lang):
             if size < DICTIONARY_BYTES:
                 held.append(letters(text))
                 size += len(held[-1]) + 1
@@ -80,7 +85,7 @@ class Classifier:
         best, *rest = sorted(sizes, key=sizes.get)
         score = 1 / sum(2.0 ** max(-1000.0, 8 * EVIDENCE * (sizes[best] - s)) for s in sizes.values())
         narrow = bool(rest) and sizes[rest[0]] - sizes[best] < MARGIN * sizes[rest[0]]
-        return best, score, narrow and len(data) >= TELLING
+        return best, score, narrow
 
 
 def identify(model: dict[str, bytes]):
@@ -106,6 +111,10 @@ def op5_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go; columns stay as they are."""
+    """Pipeline stage: rejected documents go; columns stay as they are.
+
+    Null texts and texts without a letter are rejected; without any training text all are.
+    Rows that repeat are judged alike.
+    """
     of = identify(fit(training(docs)))
     return docs.filter(~of("text")["rejected"])

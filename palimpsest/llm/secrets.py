@@ -155,34 +155,32 @@ def _surprises(stats: Column) -> Column:
     return F.transform(step, lambda p: F.struct(p["span"].alias("span"), F.coalesce(p["x"] - F.ln(1 + p["x"] + p["x"] * p["x"] / 2), F.lit(0.0)).alias("surprise")))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """Adds to ``docs`` columns ``scan_base`` (spans by start, then kind) and ``scan_more``: candidates of the battery that no base span meets, with their surprise."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def scanned(docs: DataFrame, name: str = "scan_") -> DataFrame:
+    """Adds to ``docs`` two columns, which ``name`` begins: ``base`` (spans by start, then kind) and ``more``: candidates of the battery that no base span meets, with their surprise."""
+    text, col = F.coalesce(F.col("text"), F.lit("")), lambda x: F.col(name + x)
     rows = docs.withColumns({
-        "scan_assign": _matches(text, ASSIGN),
-        "scan_access": F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS)).otherwise(F.array().cast("array<string>")),
-        "scan_hex": _matches(text, HEX), "scan_random": _matches(text, CANDIDATE),
+        f"{name}assign": _matches(text, ASSIGN),
+        f"{name}access": F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS)).otherwise(F.array().cast("array<string>")),
+        f"{name}hex": _matches(text, HEX), f"{name}random": _matches(text, CANDIDATE),
     })
     rows = rows.withColumns({
-        "scan_base": F.array_sort(F.concat(
-            _spans(text, ASSIGN, F.col("scan_assign"), 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST),
-            _spans(text, ACCESS, F.col("scan_access"), 1, lambda m: F.length(m) >= ACCESS_LEAST),
-            _spans(text, HEX, F.col("scan_hex"), 2, lambda m: F.lit(True)),
+        f"{name}base": F.array_sort(F.concat(
+            _spans(text, ASSIGN, col("assign"), 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST),
+            _spans(text, ACCESS, col("access"), 1, lambda m: F.length(m) >= ACCESS_LEAST),
+            _spans(text, HEX, col("hex"), 2, lambda m: F.lit(True)),
         )),
-        "scan_places": _spans(text, CANDIDATE, F.col("scan_random"), 3, lambda m: F.lit(True)),
+        f"{name}places": _spans(text, CANDIDATE, col("random"), 3, lambda m: F.lit(True)),
     })
-    pairs = F.transform(F.arrays_zip(F.col("scan_places").alias("span"), F.col("scan_random").alias("of")), lambda p: F.struct(p["span"].alias("span"), p["of"].alias("of")))
-    rows = rows.withColumn("scan_parts", F.when(F.size("scan_random") > 0, pairs))
+    pairs = F.transform(F.arrays_zip(col("places").alias("span"), col("random").alias("of")), lambda p: F.struct(p["span"].alias("span"), p["of"].alias("of")))
+    rows = rows.withColumn(f"{name}parts", F.when(F.size(col("random")) > 0, pairs))
     for cut in CUTS:
-        whole = ~F.exists("scan_parts", lambda p: ~_encoded(p["of"]))
-        rows = rows.withColumn("scan_parts", F.when(whole, F.col("scan_parts")).otherwise(_parts(F.col("scan_parts"), cut)))
-    pairs = F.col("scan_parts")
-    apart = F.filter(pairs, lambda p: ~F.exists("scan_base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
+        whole = ~F.exists(col("parts"), lambda p: ~_encoded(p["of"]))
+        rows = rows.withColumn(f"{name}parts", F.when(whole, col("parts")).otherwise(_parts(col("parts"), cut)))
+    apart = F.filter(col("parts"), lambda p: ~F.exists(col("base"), lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
     stats = F.transform(apart, lambda p: F.struct(p["span"].alias("span"), _statistics(p["of"]).alias("s")))
-    more = _surprises(stats)
     empty = F.array().cast(f"array<struct<span:{SPAN},surprise:double>>")
-    rows = rows.withColumn("scan_more", F.when(F.size("scan_random") > 0, more).otherwise(empty))
-    return rows.drop("scan_assign", "scan_access", "scan_hex", "scan_random", "scan_places", "scan_parts")
+    rows = rows.withColumn(f"{name}more", F.when(F.size(col("random")) > 0, _surprises(stats)).otherwise(empty))
+    return rows.drop(*(name + x for x in ("assign", "access", "hex", "random", "places", "parts")))
 
 
 def _class(length: Column) -> Column:
@@ -190,7 +188,7 @@ def _class(length: Column) -> Column:
 
 
 def thresholds(rows: DataFrame) -> list[float]:
-    """By class of lengths: the least surprise that counts as a discovery.
+    """By class of lengths: the least surprise that counts as a discovery, of :func:`scanned` rows.
 
     In each class the largest p with p x candidates <= FALSE_SHARE x (candidates with at
     most p), on the grid; infinite if there is none.
@@ -208,18 +206,19 @@ def thresholds(rows: DataFrame) -> list[float]:
     return out
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns ``scan_base`` and ``scan_all``: arrays of (start, kind, end), in code points, by start, then kind.
+def secrets(docs: DataFrame, name: str = "scan_") -> DataFrame:
+    """``docs`` with two more columns, which ``name`` begins: ``base`` and ``all``, arrays of (start, kind, end), in code points, by start, then kind.
 
-    Null texts are empty. The corpus is scanned twice: for the false discovery thresholds,
-    and for the result.
+    No column of ``docs`` may begin with ``name``; any other may be there. Null texts are
+    empty; repeated rows have the same spans; an empty table has none. Texts are scanned
+    whole. The corpus is scanned twice: for the false discovery thresholds, and for the result.
     """
-    rows = scanned(docs)
+    rows = scanned(docs, name)
     least = thresholds(scanned(docs.select("text")))
     limit = F.array(*(F.lit(x) for x in least))
     length = lambda p: p["span"]["end"] - p["span"]["start"]
-    good = F.filter("scan_more", lambda p: p["surprise"] >= F.get(limit, _class(length(p))))
-    return rows.withColumn("scan_all", F.array_sort(F.concat("scan_base", F.transform(good, lambda p: p["span"])))).drop("scan_more")
+    good = F.filter(f"{name}more", lambda p: p["surprise"] >= F.get(limit, _class(length(p))))
+    return rows.withColumn(f"{name}all", F.array_sort(F.concat(f"{name}base", F.transform(good, lambda p: p["span"])))).drop(f"{name}more")
 
 
 def joined(spans: Column) -> Column:
@@ -248,8 +247,11 @@ def op2_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: found spans are replaced in the text, n_chars follows; all rows and columns stay."""
-    rows = secrets(docs)
-    text = redacted(F.col("text"), F.col("scan_all"))
-    changed = F.size("scan_all") > 0
-    return rows.withColumns({"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    """Pipeline stage: found spans are replaced in the text, n_chars (if there is one) follows; all rows and columns stay, whatever their names."""
+    name = "scan_"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    rows = secrets(docs, name)
+    text = redacted(F.col("text"), F.col(f"{name}all"))
+    new = {"text": text} | ({"n_chars": F.when(F.size(f"{name}all") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return rows.withColumns(new).select(*docs.columns)

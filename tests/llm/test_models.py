@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -30,11 +31,43 @@ def test_language(spark):
     lang, score, rejected = of(" ".join(WORDS["yy"] * 500))
     assert lang == "yy" and 0.9 < score <= 1 and not rejected
     assert of("qwqw jkjk " * 200)[2]  # neither dictionary helps
+    assert of("qwqw jkjk")[2] and of("q")[2]  # ties are narrow at any length
     found = docs.select(langid.identify(model)("text").alias("x"), "lang").select("x.*", "lang").collect()
     assert len(found) == len(rows) + 2
     assert langid.Classifier(langid.fit(docs.filter("false")))("text") == ("und", 0.0, True)
 
 
+def brute_language(model, text):
+    """Sizes by the library alone; (language, rejected)."""
+    import zstandard
+
+    data = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+    sizes = []
+    for n, (lang, held) in enumerate(model.items()):
+        packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(packer.compress(data[i : i + langid.CHUNK])) for i in range(0, len(data), langid.CHUNK)), n, lang))
+    (a, _, lang), (b, *_) = sorted(sizes)[:2]
+    return lang, b - a < langid.MARGIN * b
+
+
+def test_language_against_brute_force(spark):
+    rows = [*texts(30), (1, "a " * 30_000 + " ".join(WORDS["yy"] * 400), "yy"), (1, "over the lazy", "xx"), (1, "over the lazy", "xx"), (2, "zz", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    found = docs.select("text", langid.identify(model)("text").alias("x")).collect()
+    assert [(r.x.lang_pred, r.x.rejected) for r in found] == [brute_language(model, r.text) for r in found]
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    """A language whose texts are all long is learned; many copies of one text count once and leave room for others."""
+    long = [(i, " ".join(random.Random(i).choice(WORDS["yy"]) for _ in range(3000)), "yy") for i in range(4)]
+    same = [(100 + i, "one text of many copies", "xx") for i in range(3000)] + [r for r in texts(20) if r[2] == "xx"]
+    docs = spark.createDataFrame(long + same, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs)
+    assert set(model) == {"xx", "yy"} and b"jumping" in model["xx"] and model["xx"].count(b"one text of many copies") == 1
+    assert len(model["yy"]) <= 4 * (langid.EXCERPT * 2 + 1) and langid.Classifier(model)(long[0][1])[0] == "yy"
+
+
 def test_language_stage_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "the of and over " * 5, "xx", "s", 3, "more"), (2, None, "xx", "s", 0, "x")], "doc_id long, text string, lang string, source string, n_chars long, rejected string")
     kept = langid.keep_identified(spark, docs, "")
@@ -61,6 +94,59 @@ def test_one_kind_of_label_and_none():
     assert (quality.boost(x[:0], np.ones(0)).score(x) == 0.5).all()
 
 
+def plain_boost(x, y):
+    """The same model by loops over rows: features and pairs in turn, each step's leaves found by trying all cuts."""
+    model = quality.boost(x, y)
+    b, intercept = model.bins(x), model.intercept
+    tables = [np.zeros(len(e) + 1) for e in model.edges]
+    total = np.full(len(y), intercept)
+    for _ in range(quality.ROUNDS):
+        for i, table in enumerate(tables):
+            p = 1 / (1 + np.exp(-total))
+            g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+            value = lambda a, z: (-(s := g[(b[:, i] >= a) & (b[:, i] < z)].sum()) / (t := h[(b[:, i] >= a) & (b[:, i] < z)].sum() + 1.0), s * s / t)  # noqa: B023, E731
+            parts = [(0, len(table))]
+            for _ in range(2):
+                cuts = [(value(a, c)[1] + value(c, z)[1] - value(a, z)[1], (a, z), c) for a, z in parts for c in range(a + 1, z)]
+                gain, part, cut = max(cuts, key=lambda k: k[0], default=(0, None, 0))
+                if gain > 1e-9:
+                    parts.remove(part)
+                    parts += [(part[0], cut), (cut, part[1])]
+            for a, z in parts:
+                table[a:z] += quality.RATE * value(a, z)[0]
+                total[(b[:, i] >= a) & (b[:, i] < z)] += quality.RATE * value(a, z)[0]
+    return tables
+
+
+def test_boosting_against_loops(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 6)
+    draw = np.random.default_rng(5)
+    x = np.column_stack([draw.random(300), draw.integers(0, 4, 300), np.ones(300)])
+    y = ((x[:, 0] > 0.4) & (x[:, 1] > 1)).astype(float)
+    model = quality.boost(x, y)
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, plain_boost(x, y), strict=True))
+    b = model.bins(x)
+    total = [model.intercept + sum(t[b[r, i]] for i, t in enumerate(model.tables)) + sum(t[b[r, i], b[r, j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True)) for r in range(len(x))]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(total))))
+
+
+def test_quality_of_odd_rows(spark, tmp_path):
+    """Nulls, repeats of ids in both tables, clashing columns, no rows and no labels."""
+    draw = random.Random(2)
+    good = lambda: " ".join(draw.choice(WORDS["xx"]) for _ in range(40)) + "."
+    rows = [(i, good() if i % 2 else "BUY!!! $$$ " * 20, "q", "l", "x") for i in range(200)] + [(None, None, "", "", ""), (1, "", "", "", ""), *[(7, good(), "", "", "")] * 500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, labelled string, score string").repartition(3)
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(200)), (7, 0), (7, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = quality.keep_good(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect() if r.text}
+    assert ids >= {i for i in range(200) if i % 2 and i != 1} and not ids & {i for i in range(200) if i % 2 == 0}
+    assert quality.keep_good(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    nothing = quality.fit(docs, labels.filter("false"))
+    assert (nothing.score(quality.measure(pd.Series(["a", None]))) == 0.5).all()
+
+
 def test_quality_held_out(spark, sf_dir):
     rows = quality.op10_additive_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) >= 0.8 and all(0 <= r.score <= 1 for r in rows)
@@ -111,6 +197,59 @@ def test_secrets_after_names_and_in_paths(spark):
         assert tuple(r.text[x.start : x.end] for x in r.all) == wanted and not any(w in r.clean for w in wanted)
 
 
+def plain_surprise(text):
+    """The battery of one candidate by the formulas: -ln of the combined probability in prose."""
+    body = text.rstrip("=")
+    k = next((size for pattern, size in secrets.ENCODINGS if re.search(pattern, text)), None)
+    n = len(body)
+    if k is None or n < secrets.LEAST:
+        return 0.0
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in set(body)) + (k - len(set(body))) * n / k
+    excess = max(k * secrets.COLLISION - 1, 0.5)
+    kind = lambda c: "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "+"
+    runs = 1 + sum(kind(a) != kind(b) for a, b in zip(body, body[1:], strict=False))
+    changes = secrets.CHANGES * (n - 1)
+    v = np.array([secrets.ALPHABET.index(c) + 1 for c in body], float)
+    r = ((v[1:] * v[:-1]).mean() - v.mean() ** 2) / v.var() if v.var() > 0 else 1.0
+    z = [(k - 1 + (n - 1) * excess - chi) / (2 * (k - 1) + 4 * n * excess) ** 0.5, (runs - 1 - changes - 0.5) / max(changes, 1e-9) ** 0.5, (secrets.CORRELATION - abs(r)) * n**0.5]
+    x = -sum(math.log(max(math.erfc(d / 2**0.5) / 2, 1e-300)) for d in z)
+    return x - math.log(1 + x + x * x / 2)
+
+
+def test_battery_against_formulas(spark):
+    draw = random.Random(8)
+    alphabets = ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcXYZ019+/", "abcdefgXYZ_-012"]
+    runs = ["".join(draw.choice(a) for _ in range(n)) for a in alphabets for n in (20, 21, 33, 90)] + ["thisisaverylongwordthatnobodywouldwrite", "a" * 30, "Zz9_/zZ9_/" * 3, "A" * 19 + "=="]
+    docs = spark.createDataFrame([(t,) for t in runs], "text string")
+    rows = secrets.scanned(docs).select("text", F.explode("scan_more").alias("x")).collect()
+    assert len(rows) >= 24
+    for r in rows:
+        assert abs(r.x.surprise - plain_surprise(r.text[r.x.span.start : r.x.span.end])) < 1e-3 * (1 + r.x.surprise)
+
+
+def test_discovery_thresholds(spark):
+    """Benjamini-Hochberg on the grid, by hand: a class without a discovery has none, one with many lets weaker ones in."""
+    span = lambda n: {"start": 0, "kind": 3, "end": n}
+    found = [{"span": span(20), "surprise": s} for s in [30.1] * 5 + [1.0] * 2000] + [{"span": span(40), "surprise": 2.0}] * 50
+    rows = spark.createDataFrame([(found,)], f"scan_more array<struct<span:{secrets.SPAN},surprise:double>>")
+    least = secrets.thresholds(rows)
+    want = min(c * secrets.GRID for c in range(1, secrets.CELLS + 1) if c * secrets.GRID <= 30.1 and math.exp(-c * secrets.GRID) * 2005 <= secrets.FALSE_SHARE * (5 if c * secrets.GRID > 1 else 2005))
+    assert least[0] == want and least[1:] == [math.inf] * 5
+
+
+def test_redacting_keeps_any_columns(spark):
+    text = f"my token = abcdefgh and {RANDOM[1]} é"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c"), (1, text, "a", "b", "c"), (None, None, "", "", "")], "doc_id long, text string, scan_random string, SCAN_base string, _scan_all string")
+    rows = secrets.redact_secrets(spark, docs, "")
+    assert rows.columns == docs.columns
+    assert sorted((r.text or "", r.scan_random) for r in rows.collect()) == [("", ""), *[("my [assign] and [random] é", "a")] * 2]
+    long = "word " * 200_000 + "token = abcdefgh"
+    counted = spark.createDataFrame([(1, long, 5)], "doc_id long, text string, n_chars long")
+    row = secrets.redact_secrets(spark, counted, "").first()
+    assert row.text == "word " * 200_000 + "[assign]" and row.n_chars == len(row.text)
+    assert secrets.redact_secrets(spark, docs.filter("false"), "").count() == 0
+
+
 def test_secret_scan_is_native(spark, sf_dir):
     plan = secrets.op2_randomness_secrets(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)

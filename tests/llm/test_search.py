@@ -149,6 +149,7 @@ def brute_classes(rows):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string").repartition(5)
     found = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
@@ -158,11 +159,49 @@ def test_near_duplicates(spark, monkeypatch):
 
 
 def test_near_duplicates_with_repeated_and_missing_ids(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    docs = spark.createDataFrame([(7, text, ""), (7, text, ""), (None, text, ""), (9, text + " more", ""), (None, None, "")], "doc_id long, text string, key string")
-    assert sorted((r.doc_id or -1, r.class_id or -1) for r in minhash.classes(docs).collect()) == [(-1, -1), (-1, 7), (7, 7), (7, 7), (9, 7)]
-    assert sorted(str(r.doc_id) for r in minhash.keep_one_of_each(spark, docs, "").collect()) == ["7", "None", "None"]
-    assert minhash.classes(docs.filter("false")).count() == 0
+    text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(3, other, ""), (5, other, ""), (5, "quite another text of seven words here", ""), (7, text, "a"), (7, text, "b"), (None, text, ""), (9, text + " more", ""), (None, None, ""), (4, "", ""), (None, "all by itself", ""), (None, "all by itself", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    found = sorted((r.doc_id or -1, r.class_id or -1, r.class_size) for r in minhash.classes(docs).collect())
+    assert found == [(-1, -1, 1), (-1, -1, 2), (-1, -1, 2), (-1, 7, 4), (3, 3, 2), (4, 4, 1), (5, 3, 2), (5, 5, 1), (7, 7, 4), (7, 7, 4), (9, 7, 4)]
+    kept = minhash.keep_one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.filter("text <> ''").collect()) == [("3", other), ("5", rows[2][1]), ("7", text), ("None", "all by itself")]
+    assert kept.filter("text is null or text = ''").count() == 2
+    assert minhash.classes(docs.filter("false")).count() == minhash.keep_one_of_each(spark, docs.filter("false"), "").count() == 0
+
+
+def test_similar_pairs_of_blocks(monkeypatch):
+    monkeypatch.setattr(minhash, "STRIP", 50)
+    draw = np.random.default_rng(6)
+    base = np.unique(draw.integers(0, 1 << 63, 90, dtype=np.uint64))
+    payloads = []
+    for _ in range(60):
+        names = np.unique(np.concatenate([draw.choice(base, 85, replace=False), draw.integers(0, 1 << 63, 2, dtype=np.uint64)]))
+        payloads.append(minhash._payload(names, np.where(draw.random(len(names)) < 0.96, 64, draw.integers(20, 200, len(names))).astype(np.uint16)))
+    payloads += [payloads[0], minhash._payload(base[:1], np.array([64]))]
+    want = {(a, b) for a in range(62) for b in range(62) if minhash.similarity(payloads[a], payloads[b]) >= minhash.THRESHOLD}
+    every = np.arange(62)
+    assert set(minhash.pairs_of(payloads, every, every)) == want and 200 < len(want) < 3600
+    assert set(minhash.pairs_of(payloads, every[:20], every[20:])) == {(a, b) for a, b in want if a < 20 <= b}
+
+
+def test_unlike_long_texts_share_no_samples():
+    draw, sampler = np.random.default_rng(0), minhash.Sampler()
+    names = [np.unique(draw.integers(0, 1 << 63, 300_000, dtype=np.uint64)) for _ in range(2)]
+    a, b = (sampler(n, np.full(len(n), 2 * minhash.STEP, np.uint16)) for n in names)
+    assert (a == b).sum() <= 1 and not (minhash.bands(a) == minhash.bands(b)).any()
+
+
+def test_frequent_shingles_are_bounded(spark):
+    """Small tasks put all of their shingles forward; few are collected, and the counts are exact."""
+    draw = random.Random(1)
+    rows = [(i, " ".join([f"u{draw.random()}" for _ in range(30)] + (["common passage of six words here"] if i % 3 == 0 else []))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40).withColumn("mark", minhash._mark())
+    table = minhash._nodes(docs)
+    assert table.filter("shingle is not null").count() > 10_000
+    names, idf = minhash._frequent(docs, table, 600)
+    assert len(names) == 2 and np.allclose(idf, 1 + np.log(3) / np.log(100))
 
 
 def test_samples_estimate_weighted_similarity():
@@ -206,6 +245,24 @@ def test_snapshots_collapse(spark, monkeypatch):
     assert chat.collapse(df.filter("false")).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Clashing columns, repeated ids, and no rows at all."""
+    import corpus_pipeline
+
+    text = " ".join(f"the word and of number {i}" for i in range(20))
+    rows = [(i, text + f" item {i} " * 30, "en", "s", 1, "x", "y") for i in (1, 2, 2, 3)] + [(4, None, None, None, None, "", ""), (None, text, "en", "s", 1, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mark string, scan_all string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for name, df in (("full", docs), ("none", docs.filter("false"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        held = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            held = stage(spark, held, f"{tmp_path}/{name}")
+            assert held.columns == df.columns
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == 0 if name == "none" else held.count() > 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -19,7 +19,8 @@ merges inside two neighbours go as they would anywhere, until one crosses their
 each text exactly one path has a finite weight then, and so has each place: it is what
 merging makes of the text up to there. That is why a place needs one entry, its last arc.
 
-Where no piece holds a meta symbol after another character, words are separate inputs.
+Where no piece holds a meta symbol after another character, words are separate inputs; so
+are the two sides of any two neighbouring characters that no piece holds in a row.
 """
 
 from __future__ import annotations
@@ -153,6 +154,7 @@ class Transducer:
         self.normalise = Normaliser(normaliser)
         self.merging = trainer.get(3, UNIGRAM) == MERGES
         self.pieces = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
+        self.written = {p: struct.pack("<I", i) for p, i in self.pieces.items()}
         self.score = {p: pieces[i][1] for p, i in self.pieces.items()}
         self.weight = {p: 0.0 if self.merging else -s for p, s in self.score.items()}
         #: Of a character without a piece: ten more than the worst piece.
@@ -172,6 +174,7 @@ class Transducer:
             if len(p) == 1 or not self.merging or self.merged(p) == [p]:
                 self.arcs.add_word(p, p)
         self.single = frozenset(p for p in self.pieces if len(p) == 1)
+        self.within = frozenset(pair for p in self.pieces for pair in pairwise(p))
         self.arcs.make_automaton()
 
     def merged(self, text: str) -> list[str]:
@@ -258,22 +261,32 @@ class Transducer:
     def ids(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            out = array("I")
-            for arc in self.shortest(word):
-                i = self.pieces.get(arc)
-                if i is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in arc.encode())
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-            found = out.tobytes()
+            found = self.fresh(word)
             if len(word) <= 64:
                 if len(self.words) >= HELD:
                     self.words.clear()
                 self.words[word] = found
         return found
 
+    def fresh(self, word: str) -> bytes:
+        if self.bytes and not word[1:].isalpha():  # without byte fallback neighbours without a piece share an id
+            cuts = [i for i, pair in enumerate(pairwise(word), 1) if pair not in self.within]
+            if cuts:
+                return b"".join([self.ids(word[a:b]) for a, b in pairwise([0, *cuts, len(word)])])
+        path = self.shortest(word)
+        if self.single.issuperset(word):
+            return b"".join([self.written[arc] for arc in path])
+        out: list[int] = []
+        for arc in path:
+            i = self.pieces.get(arc)
+            if i is not None:
+                out.append(i)
+            elif self.bytes:
+                out += [self.bytes[b] for b in arc.encode()]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return array("I", out).tobytes()
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text. Null and empty texts have none."""
         return self.encode_normal(self.normalise(text or ""))

@@ -13,12 +13,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bucket_of, documents
 
-#: Fitting collects at most this many distinct texts of each language, those with the least hashes, and of longer ones a part.
+#: Fitting takes at most this many distinct texts of each language, those with the least hashes (about twice as many are collected), and of longer ones a part.
 SAMPLE_TEXTS = 600
 EXCERPT = 6000
 DICTIONARY_BYTES = 131_072
@@ -42,12 +42,11 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     place that its hash chooses. The driver gets a row for each language, and the sample.
     """
     known = docs.filter("text <> '' and lang is not null").select("lang", "text", F.xxhash64("text").alias("place"))
-    counts = dict(known.groupBy("lang").count().collect())
+    counts = {r["lang"]: (r["n"], r["d"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("d")).collect()}
     if not counts:
         return {}
-    order = Window.partitionBy("lang").orderBy("place")
-    least = known.select("lang", "place").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
-    limits = dict(least.groupBy("lang").agg(F.max("place")).collect())
+    # Hashes up to which twice the sample is expected: an estimate of distinct texts can't miss by so much.
+    limits = {lang: min((1 << 63) - 1, (1 << 65) * SAMPLE_TEXTS // d - (1 << 63)) for lang, (_, d) in counts.items()}
     limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
     start = F.pmod("place", F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))).cast("int")
     part = F.substring(F.col("text"), start + 1, F.lit(EXCERPT)).alias("text")
@@ -56,7 +55,7 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     found: dict[str, bytes] = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         held, size = [], 0
-        for text in (r.text for r in rows if r.lang == lang):
+        for text in [r.text for r in rows if r.lang == lang][:SAMPLE_TEXTS]:
             if size < DICTIONARY_BYTES:
                 held.append(letters(text))
                 size += len(held[-1]) + 1

@@ -53,7 +53,7 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     rows = known.filter(F.col("place") <= limit[F.col("lang")]).select("lang", "place", part).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.place, r.text))
     found: dict[str, bytes] = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
+    for lang in sorted(counts, key=lambda x: (-counts[x][0], x)):
         held, size = [], 0
         for text in [r.text for r in rows if r.lang == lang][:SAMPLE_TEXTS]:
             if size < DICTIONARY_BYTES:

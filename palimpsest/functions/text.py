@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,9 +71,18 @@ def latin_ratio(text: Column) -> Column:
     return class_ratio(text, "[A-Za-z]")
 
 
+@lru_cache(maxsize=1)
+def _other_digits() -> str:
+    """Ranges of the characters that have a digit value but are no decimal digits."""
+    found = [c for c in range(0x110000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"]
+    starts = [c for c, before in zip(found, [-1, *found], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -1], strict=True) if after != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+
+
 def digit_ratio(text: Column) -> Column:
-    """Decimal digits and other characters with a digit value, such as superscripts."""
-    return class_ratio(text, r"[\p{Nd}\u00B2\u00B3\u00B9\u2070\u2074-\u2079\u2080-\u2089]")
+    """Decimal digits and all other characters with a digit value, such as superscripts or circled digits."""
+    return class_ratio(text, rf"[\p{{Nd}}{_other_digits()}]")
 
 
 def lexical_ratio(tokens: Column, lexicon: Column) -> Column:
@@ -105,6 +115,10 @@ def joined_lines(texts: Column, separator: str = "\n") -> Column:
     return F.array_join(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), separator)
 
 
+#: A part of a list: in either kind of quotes, which may hold the other kind.
+QUOTED = """(?:'[^']*'|"[^"]*")"""
+
+
 def split_candidates(output: Column, most: int | None = None, bracketed: bool = True) -> Column:
     """Lists of parts in the ``Split:`` lines of an analyser's output, each list once, the first ``most``.
 
@@ -112,8 +126,9 @@ def split_candidates(output: Column, most: int | None = None, bracketed: bool =
     """
     pattern = r"Split:\s*(\[.*\])" if bracketed else r"Split:\s*(.*)"
     lines = F.filter(F.split(F.coalesce(output, F.lit("")), "\r\n|\n|\r"), lambda x: x.rlike(pattern))
-    lists = F.transform(lines, lambda x: F.from_json(F.replace(F.regexp_extract(x, pattern, 1), F.lit("'"), F.lit('"')), "array<string>"))
-    found = F.array_distinct(F.filter(lists, lambda x: x.isNotNull() & ~F.exists(x, lambda p: p.isNull())))
+    texts = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, pattern, 1))), lambda x: x.rlike(f"^\\[\\s*(?:{QUOTED}\\s*(?:,\\s*{QUOTED}\\s*)*)?\\]$"))
+    lists = F.transform(texts, lambda x: F.transform(F.regexp_extract_all(x, F.lit(QUOTED), F.lit(0)), lambda p: F.substring(p, F.lit(2), F.length(p) - 2)))
+    found = F.array_distinct(lists)
     return F.slice(found, 1, most) if most is not None else found
 
 
@@ -202,7 +217,7 @@ def numeric_confidence(value: Column) -> Column:
     """A confidence in words, per cent or as a fraction, with two digits; 0.00 if there is none."""
     text = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
     words = F.create_map(*(F.lit(x) for pair in CONFIDENCE_WORDS.items() for x in pair))
-    number = F.regexp_extract(text, r"\d+(?:\.\d+)?", 0).try_cast("double")
+    number = F.regexp_extract(text, r"\d+(?:\.\d+)?(?:e-?\d+)?", 0).try_cast("double")
     share = F.when(number.isNotNull(), F.least(F.lit(1.0), F.when(number > 1, number / 100).otherwise(number)))
     return F.format_string("%.2f", F.coalesce(F.try_element_at(words, text), share, F.lit(0.0)))
 

@@ -86,6 +86,13 @@ def scale_to(width: Column, height: Column, longest: int) -> Column:
     return F.when(F.lit(longest > 0) & (side > longest), F.lit(longest) / side).otherwise(1.0)
 
 
+def upscaled(width: Column, height: Column, factor: float) -> Column:
+    """Whole sides, of one pixel at least, after scaling by a positive factor."""
+    if factor <= 0:
+        raise ValueError("the factor must be positive")
+    return F.struct(scaled(width, F.lit(factor)).alias("width"), scaled(height, F.lit(factor)).alias("height"))
+
+
 def scaled(side: Column, scale: Column) -> Column:
     return F.greatest(F.lit(1), F.rint(side * scale)).cast("int")
 
@@ -161,6 +168,15 @@ def content_bounds(cells: DataFrame, group: list[str], width: str, height: str,
     )
 
 
+def trimmed(images: DataFrame, cells: DataFrame, group: list[str], margin: int = 20) -> DataFrame:
+    """Bounds of each image's (group, width, height) inked cells (group, x, y), with a margin; of an image without any the whole."""
+    inked = images.join(cells, group, "left")
+    found = content_bounds(inked.filter("x is not null"), group, "width", "height", margin)
+    rows = images.join(found, group, "left")
+    none = F.col("x1").isNull()
+    return rows.select(*group, F.coalesce("x1", F.lit(0)).alias("x1"), F.coalesce("y1", F.lit(0)).alias("y1"), F.when(none, F.col("width")).otherwise(F.col("x2")).alias("x2"), F.when(none, F.col("height")).otherwise(F.col("y2")).alias("y2"))
+
+
 def union_bounds(boxes: Column) -> Column:
     """Bounds of all two-component points of an array of boxes; zeros if there are none."""
     points = F.filter(F.flatten(boxes), lambda p: F.size(p) == 2)

@@ -15,6 +15,8 @@ from palimpsest.functions.text import DEVANAGARI, Script
 
 #: Largest lexicon, in rows, that is sent to every executor whole; a larger one is cut into blocks.
 BROADCAST_ROWS = 200_000
+#: Parts of the texts that are held against each block of a larger lexicon.
+SEEN_PARTS = 64
 #: Texts whose pairs are bounded together.
 STRETCH = 2000
 TOKEN_THRESHOLD, SPAN_THRESHOLD, REPLACE_THRESHOLD = 0.58, 0.62, 0.78
@@ -40,9 +42,11 @@ def against(seen: DataFrame, known: DataFrame, condition: Column, rows: int) ->
     if rows <= BROADCAST_ROWS:
         return seen.join(F.broadcast(known), condition)
     blocks = -(-rows // BROADCAST_ROWS)
-    parts = known.withColumn("_block", F.pmod(F.xxhash64(*known.columns), F.lit(blocks)))
-    each = seen.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return each.join(parts, (each["_block"] == parts["_block"]) & condition).drop("_block")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # A block would be one task with all of ``seen``: that is dealt to parts, and every block to each of them.
+    parts = known.withColumn("_block", F.pmod(F.xxhash64(*known.columns), F.lit(blocks))).withColumn("_part", upto(SEEN_PARTS))
+    each = seen.withColumn("_part", F.pmod(F.xxhash64(*seen.columns), F.lit(SEEN_PARTS))).withColumn("_block", upto(blocks))
+    return each.join(parts, (each["_block"] == parts["_block"]) & (each["_part"] == parts["_part"]) & condition).drop("_block", "_part")
 
 
 def candidates(tokens: DataFrame, lexicon: DataFrame, script: Script = DEVANAGARI, least: float = TOKEN_THRESHOLD, most: int = 5, token: str = "token") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.fuzzy import Bounds, token_score
 from palimpsest.functions.text import DEVANAGARI, Script, has_morphology, has_split
-from palimpsest.operators.matching import dealt
+from palimpsest.operators.matching import BROADCAST_ROWS, dealt
 
 PER_START = 12
 #: Tokens whose spans are scored together.
@@ -113,8 +113,8 @@ def segmentations(tokens: DataFrame, lexicon: list[Entry], script: Script = DEVA
     return dealt(seen, "token").mapInPandas(run, SCHEMA)
 
 
-def entries_of(lexicon: DataFrame, most: int = 10_000) -> list[Entry]:
-    """A lexicon table as a list, in order; an error if it has more than ``most`` entries."""
+def entries_of(lexicon: DataFrame, most: int = BROADCAST_ROWS) -> list[Entry]:
+    """A lexicon table as a list, in order; an error if it has more than ``most`` entries, which tasks could not hold."""
     rows = lexicon.orderBy("position").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a lexicon of over {most} entries can't be sent to all tasks")

@@ -7,13 +7,13 @@ Lines are those of ``documents.text``; the lexicon is the 200 most frequent word
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.syllables import split_syllables
 from palimpsest.operators import bands, chunks, context, geometry, graph, lattice, matching, review, splits, tokens
 from palimpsest.sources import readers
 from palimpsest.streaming import jobs
@@ -81,7 +81,7 @@ def chunk_pack(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PACKED} SELECT doc_id, chunk_index, count(*) AS line_count, CAST(sum(length(line)) AS BIGINT) AS char_count, string_agg(trim(line), chr(10) ORDER BY line_index) AS text FROM folded GROUP BY doc_id, chunk_index")
 def chunk_summary(spark, sf_dir):
-    return chunks.chunk_summary(chunks.pack_lines(table(spark, sf_dir, "documents")))
+    return chunks.chunk_summary(chunks.packed(table(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_index, line FROM lines")
@@ -104,10 +104,11 @@ def token_frequency(spark, sf_dir):
     return tokens.token_frequency(tokenize_lines(spark, sf_dir))
 
 
-@query("SELECT item_id, regexp_replace(text, '[^A-Za-z]+', '', 'g') AS normalized, regexp_replace(regexp_replace(text, '[^A-Za-z]+', '', 'g'), '[AEIOUaeiou]+', '', 'g') AS skeleton FROM benchmark")
+@query("""WITH normal AS (SELECT doc_id, regexp_replace(nfc_normalize(text), '[^A-Za-z]+', '', 'g') AS normalized FROM documents)
+SELECT doc_id, normalized, regexp_replace(normalized, '[AEIOUaeiou]+', '', 'g') AS skeleton FROM normal""")
 def text_skeleton(spark, sf_dir):
-    normal = T.normalize_token(F.col("text"), T.LATIN, compose=False)
-    return table(spark, sf_dir, "benchmark").select("item_id", normal.alias("normalized"), T.token_skeleton(normal, T.LATIN).alias("skeleton"))
+    normal = T.normalize_token(F.col("text"), T.LATIN)
+    return table(spark, sf_dir, "documents").select("doc_id", normal.alias("normalized"), T.token_skeleton(normal, T.LATIN).alias("skeleton"))
 
 
 VISIBLE = r"length(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', '', 'g'))"
@@ -121,11 +122,16 @@ def char_class_ratios(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.character_counts(text).alias("n"), T.latin_ratio(text).alias("latin_ratio"), T.digit_ratio(text).alias("digit_ratio")).select("doc_id", "n.*", "latin_ratio", "digit_ratio")
 
 
-@query(f"""SELECT doc_id, CAST(floor(1000 * (0.35 * 0.8 + 0.30 * latin + 0.10 * CASE WHEN visible > 0 THEN least(1.0, ln(1 + visible) / 5) ELSE 0 END
-  - 0.20 * digits - CASE WHEN visible > 0 AND visible < 6 THEN 0.15 ELSE 0 END) + 0.0000001) AS BIGINT) AS score_thousandths FROM ({RATIOS})""")
+@query(f"""WITH {TOKENS}, {LEXICON}, hits AS (SELECT t.doc_id, count(l.token) / count(*) AS lexical FROM tokens t LEFT JOIN lexicon l ON t.token = l.token GROUP BY t.doc_id), ratios AS ({RATIOS}),
+shares AS (SELECT r.doc_id, visible, CASE WHEN visible > 0 THEN latin ELSE 0 END AS latin, CASE WHEN visible > 0 THEN digits ELSE 0 END AS digits, coalesce(lexical, 0) AS lexical, (r.doc_id % 101) / 100 AS confidence FROM ratios r LEFT JOIN hits h ON h.doc_id = r.doc_id)
+SELECT doc_id, CAST(floor(1000 * (0.35 * confidence + 0.30 * latin + 0.25 * lexical + 0.10 * CASE WHEN visible > 0 THEN least(1.0, ln(1 + visible) / 5) ELSE 0 END - 0.35 * latin
+  - 0.20 * digits - CASE WHEN visible > 0 AND visible < 6 THEN 0.15 ELSE 0 END) + 0.0000001) AS BIGINT) AS score_thousandths FROM shares""")
 def heuristic_score(spark, sf_dir):
-    text, zero = F.col("text"), F.lit(0.0)
-    score = T.heuristic_score(F.lit(0.8), T.script_ratio(text, T.LATIN), zero, zero, T.digit_ratio(text), T.visible(text))
+    """The tables hold no confidence: one of each document's id stands for it."""
+    text = F.col("text")
+    words = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.transform(T.tokenize(x, T.LATIN), F.lower)))
+    known = F.array(*(F.lit(r.token) for r in lexicon(spark, sf_dir).collect()))  # 200 entries
+    score = T.heuristic_score(F.col("doc_id") % 101 / 100, T.script_ratio(text, T.LATIN), T.lexical_ratio(words, known), T.latin_ratio(text), T.digit_ratio(text), T.visible(text))
     return table(spark, sf_dir, "documents").select("doc_id", F.floor(1000 * score + 0.0000001).alias("score_thousandths"))
 
 
@@ -168,11 +174,6 @@ def plus_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.plus_separated(F.concat("p_name", F.lit(" / "), "p_type")).alias("parts"))
 
 
-@query()
-def syllable_units(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(split_syllables(F.concat(F.lit("नमः क्षिति संज्ञा "), "text"))).alias("n_units"))
-
-
 # Geometry: images are suppliers, boxes are order lines.
 
 IMAGES = "images AS (SELECT s_suppkey AS image, CAST(400 + s_suppkey * 37 % 5000 AS BIGINT) AS width, CAST(300 + s_suppkey * 91 % 4000 AS BIGINT) AS height FROM supplier)"
@@ -253,7 +254,13 @@ def box_iou_pairs(spark, sf_dir):
     return pairs.filter("iou > 0").select("page", "line_a", "line_b", F.floor(1_000_000 * F.col("iou")).alias("iou_millionths"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, ordered AS (SELECT *, row_number() OVER (PARTITION BY page, text ORDER BY confidence DESC, line) AS k FROM boxes), walk AS (
+  SELECT page, text, line, confidence, k, true AS stays, [{{'a': x1, 'b': y1, 'c': x2, 'd': y2}}] AS held FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT page, text, line, confidence, k, stays, CASE WHEN stays THEN list_append(held, {{'a': x1, 'b': y1, 'c': x2, 'd': y2}}) ELSE held END FROM (
+    SELECT o.page, o.text, o.line, o.confidence, o.k, o.x1, o.y1, o.x2, o.y2, w.held, len(list_filter(list_transform(w.held, lambda h: {{'i': greatest(0, least(h.c, o.x2) - greatest(h.a, o.x1)) * greatest(0, least(h.d, o.y2) - greatest(h.b, o.y1)), 't': (h.c - h.a) * (h.d - h.b) + (o.x2 - o.x1) * (o.y2 - o.y1)}}), lambda h: h.i > 0 AND h.i / (h.t - h.i) >= 0.3)) = 0 AS stays
+    FROM walk w JOIN ordered o ON o.page = w.page AND o.text = w.text AND o.k = w.k + 1))
+SELECT page, line, text, confidence FROM walk WHERE stays""")
 def box_suppression(spark, sf_dir):
     return geometry.suppressed(boxes(spark, sf_dir), ["page"], 0.3).select("page", "line", "text", "confidence")
 
@@ -274,8 +281,8 @@ def densest_windows(spark, sf_dir):
 
 @query(f"WITH {BOXES} SELECT page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes GROUP BY page")
 def page_bounds(spark, sf_dir):
-    rows = boxes(spark, sf_dir).groupBy("page").agg(F.collect_list("box").alias("boxes"))
-    return rows.select("page", geometry.union_bounds(F.col("boxes")).alias("b")).select("page", "b.*")
+    rows = boxes(spark, sf_dir).select("page", geometry.bounds(F.col("box")).alias("b"))
+    return rows.groupBy("page").agg(F.min("b.x1").alias("x1"), F.min("b.y1").alias("y1"), F.max("b.x2").alias("x2"), F.max("b.y2").alias("y2"))
 
 
 # Bands
@@ -320,7 +327,15 @@ def bounded_bands(spark, sf_dir):
     return bands.bounded(rows, 600, 20)
 
 
-@query()
+@query(f"""WITH {LINES}, ink AS (SELECT doc_id, line_index AS r, length(line) AS v FROM lines), whole AS (SELECT doc_id, min(r) AS s, max(r) + 1 AS e FROM ink GROUP BY doc_id),
+inside AS (SELECT i.*, w.s FROM ink i JOIN whole w USING (doc_id) WHERE e - s > 20), low AS (SELECT doc_id, quantile_cont(v, 0.1) AS low FROM inside GROUP BY doc_id),
+gaps AS (SELECT doc_id, s, min(r) AS a, max(r) + 1 AS b FROM (SELECT doc_id, s, r, r - row_number() OVER (PARTITION BY doc_id ORDER BY r) AS g FROM inside JOIN low USING (doc_id) WHERE v <= low) GROUP BY doc_id, s, g),
+cuts AS (SELECT doc_id, CAST(s + floor((a + b - 2 * s) / 2) AS BIGINT) AS p FROM gaps),
+edges AS (SELECT doc_id, s AS p FROM whole UNION ALL SELECT doc_id, e FROM whole UNION ALL SELECT doc_id, p FROM cuts),
+pieces AS (SELECT doc_id, p AS s, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM edges),
+good AS (SELECT * FROM pieces WHERE e IS NOT NULL AND (e - s >= 3 OR doc_id NOT IN (SELECT doc_id FROM cuts))),
+parts AS (SELECT doc_id, s + i * 3 AS a, least(e, s + i * 3 + 20) AS z FROM good, LATERAL (SELECT unnest(range(0, greatest(0, CAST(ceil((e - s - 20) / 3) AS BIGINT)) + 1)) AS i) WHERE e - s > 20)
+SELECT doc_id, CAST(a AS BIGINT) AS start, CAST(z AS BIGINT) AS "end" FROM parts WHERE z - a >= 3 UNION ALL SELECT doc_id, s, e FROM good WHERE e - s <= 20""")
 def tall_bands_split(spark, sf_dir):
     lines = chunks.lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = lines.select("doc_id", F.col("line_index").cast("long").alias("row"), F.length("line").alias("ink"))
@@ -561,11 +576,18 @@ def stream_windows(spark, sf_dir):
     return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n_events")
 
 
-def _checkpoints(spark: SparkSession) -> str:
-    import uuid
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a temporary one only where all runs on this machine and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return folder.rstrip("/")
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streams-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+
+def _checkpoints(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -49,6 +49,17 @@ def zipped_result(boxes: Column, texts: Column, scores: Column) -> Column:
     return F.filter(rows, lambda r: F.trim(F.coalesce(r["text"], F.lit(""))) != "")
 
 
+def nested_result(result: Column) -> Column:
+    """Entries of a result of the nested form, as JSON: [box, [text, confidence]] items, or a page of them; others are left out."""
+    item = "array<string>"
+    items = F.from_json(result, f"array<{item}>")
+    paged = result.rlike(r"^(?:\s*\[){5}")  # page, item, box, point
+    rows = F.coalesce(F.when(paged, F.transform(F.get(items, F.lit(0)), lambda x: F.from_json(x, item))).otherwise(items), F.array().cast(f"array<{item}>"))
+    payload = lambda r: F.from_json(F.get(r, F.lit(1)), item)
+    good = F.filter(rows, lambda r: (F.size(r) >= 2) & (F.coalesce(F.size(payload(r)), F.lit(0)) >= 2))
+    return F.transform(good, lambda r: F.struct(F.from_json(F.get(r, F.lit(0)), "array<array<double>>").alias("box"), F.get(payload(r), F.lit(0)).alias("text"), F.get(payload(r), F.lit(1)).cast("double").alias("confidence")))
+
+
 def recognition(spark: SparkSession, path: str) -> DataFrame:
     return json_documents(spark, path, RECOGNITION)
 
@@ -78,12 +89,12 @@ def recognized_entries(results: DataFrame) -> DataFrame:
     return results.select("path", F.filter(entries, lambda e: F.trim(F.coalesce(e["text"], F.lit(""))) != "").alias("entries"))
 
 
-def lexicon(spark: SparkSession, path: str, script: Script = DEVANAGARI, strict: bool = True, columns: int = 4) -> DataFrame:
+def lexicon(spark: SparkSession, path: str, script: Script = DEVANAGARI, strict: bool = True, columns: int = 4, required: bool = True) -> DataFrame:
     """Entries of a tab-separated lexicon: token, lemma, pos, gloss, normalized, skeleton, position.
 
     Blank lines and those that start with ``#`` are left out, as are tokens without a character of
     the script. A line of another number of columns is an error, or left out if not ``strict``.
-    ``position`` follows the lines of the files.
+    ``position`` ascends with the lines of the files. A lexicon without an entry is an error if ``required``.
     """
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("_line")).filter("line <> '' and not startswith(line, '#')")
     parts = F.split("line", "\t")
@@ -92,7 +103,10 @@ def lexicon(spark: SparkSession, path: str, script: Script = DEVANAGARI, strict:
     rows = lines.withColumn("_p", parts).filter(F.size("_p") == columns)
     rows = rows.select("_line", *(F.trim(F.get("_p", F.lit(i))).alias(n) for i, n in enumerate(("token", "lemma", "pos", "gloss"))))
     rows = rows.withColumn("normalized", normalize_token(F.col("token"), script)).filter("normalized <> ''")
-    placed = rows.withColumn("position", F.row_number().over(Window.orderBy("_line")).cast("long"))  # lexicons are small
+    if required and rows.isEmpty():
+        raise ValueError(f"no usable entry in the lexicon {path}")
+    # Places ascend with the lines; they need not be without gaps.
+    placed = rows.withColumn("position", F.col("_line") + 1)
     return placed.withColumn("skeleton", token_skeleton(F.col("normalized"), script)).drop("_line")
 
 

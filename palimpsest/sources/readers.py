@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import DEVANAGARI, Script, normalize_token, token_skeleton
+from palimpsest.operators.tokens import numbered
 from palimpsest.sources.schemas import CHUNK_ENTRY, ENTRY, PAGE_SCAN, RECOGNITION
 
 PREFERENCE = ("paddleocr", "easyocr", "tesseract")
@@ -89,12 +90,13 @@ def recognized_entries(results: DataFrame) -> DataFrame:
     return results.select("path", F.filter(entries, lambda e: F.trim(F.coalesce(e["text"], F.lit(""))) != "").alias("entries"))
 
 
-def lexicon(spark: SparkSession, path: str, script: Script = DEVANAGARI, strict: bool = True, columns: int = 4, required: bool = True) -> DataFrame:
+def lexicon(spark: SparkSession, path: str, script: Script = DEVANAGARI, strict: bool = True, columns: int = 4, required: bool | None = None) -> DataFrame:
     """Entries of a tab-separated lexicon: token, lemma, pos, gloss, normalized, skeleton, position.
 
     Blank lines and those that start with ``#`` are left out, as are tokens without a character of
     the script. A line of another number of columns is an error, or left out if not ``strict``.
-    ``position`` ascends with the lines of the files. A lexicon without an entry is an error if ``required``.
+    ``position`` (from 1) follows the lines of the files. A lexicon without an entry is an error if
+    ``required`` (by default, if ``strict``).
     """
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("_line")).filter("line <> '' and not startswith(line, '#')")
     parts = F.split("line", "\t")
@@ -103,10 +105,9 @@ def lexicon(spark: SparkSession, path: str, script: Script = DEVANAGARI, strict:
     rows = lines.withColumn("_p", parts).filter(F.size("_p") == columns)
     rows = rows.select("_line", *(F.trim(F.get("_p", F.lit(i))).alias(n) for i, n in enumerate(("token", "lemma", "pos", "gloss"))))
     rows = rows.withColumn("normalized", normalize_token(F.col("token"), script)).filter("normalized <> ''")
-    if required and rows.isEmpty():
+    if (strict if required is None else required) and rows.isEmpty():
         raise ValueError(f"no usable entry in the lexicon {path}")
-    # Places ascend with the lines; they need not be without gaps.
-    placed = rows.withColumn("position", F.col("_line") + 1)
+    placed = numbered(rows, ["_line"])
     return placed.withColumn("skeleton", token_skeleton(F.col("normalized"), script)).drop("_line")
 
 

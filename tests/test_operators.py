@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import fuzzy
+from palimpsest.functions import fuzzy, text
 from palimpsest.functions.text import LATIN
 from palimpsest.operators import bands, chunks, context, geometry, graph, lattice, matching, review, splits, tokens
 
@@ -429,3 +429,30 @@ def test_small_ones(spark):
     assert [r.token for r in review.segment_tokens(wanted, chosen).orderBy("token_order").collect()] == ["The", "quick", "fox"]
     probes = spark.createDataFrame([("a", "Split: ['x']"), ("b", "Morphological tags:\n(n)\n"), ("c", None)], "token string, output string")
     assert tuple(splits.probe_summary(probes, spark.createDataFrame([("a",), ("a",)], "token string")).first()) == (3, 1, 1, 1)
+
+
+def test_trimmed_and_upscaled(spark):
+    images = spark.createDataFrame([(1, 100, 60), (2, 50, 40)], "image int, width int, height int")
+    cells = spark.createDataFrame([(1, 30, 10), (1, 70, 59)], "image int, x int, y int")
+    assert sorted(tuple(r) for r in geometry.trimmed(images, cells, ["image"]).collect()) == [(1, 10, 0, 91, 60), (2, 0, 0, 50, 40)]
+    assert tuple(spark.range(1).select(geometry.upscaled(F.lit(3), F.lit(1), 0.1).alias("s")).first().s) == (1, 1)
+    with pytest.raises(ValueError, match="positive"):
+        geometry.upscaled(F.lit(3), F.lit(1), 0)
+
+
+def test_tree_of_summaries(spark):
+    rows = spark.range(1, 11).select(F.col("id").alias("line"), F.col("id").cast("string").alias("text"))
+    joined = lambda records: "(" + " ".join(r["text"] for r in records) + ")"
+    assert tuple(review.reduced(rows, joined, "line", 4).first()) == ("((1 2 3 4) (5 6 7 8) (9 10))", "ok", None, 2, 3)
+
+    def some(records):
+        if len(records) < 4:
+            raise ValueError("too few")
+        return "x"
+
+    assert review.reduced(rows.limit(2), some, "line", 4).first().status == "error"
+
+
+def test_parts_in_either_quotes(spark):
+    row = spark.range(1).select(text.split_candidates(F.lit("""Split: ["it's", 'b']\nSplit: []\nSplit: [a]\nSplit: ['x',]""")).alias("x"), text.digit_ratio(F.lit("①a²5")).alias("d"), text.numeric_confidence(F.lit(0.0001)).alias("c")).first()
+    assert row.x == [["it's", "b"], []] and row.d == 0.75 and row.c == "0.00"

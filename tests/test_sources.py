@@ -135,3 +135,17 @@ def test_queries_equal_their_sql(spark, sf_dir):
         a = sorted(tuple(map(text, r)) for r in ours.select(*columns).collect())
         b = sorted(tuple(map(text, r)) for r in theirs.select(", ".join(f'"{c}"' for c in columns)).fetchall())
         assert a == b, name
+
+
+def test_empty_lexicon(spark, tmp_path):
+    (tmp_path / "l.tsv").write_text("# token\tlemma\tpos\tgloss\n123\ta\tb\tc\n")
+    with pytest.raises(ValueError, match="no usable entry"):
+        readers.lexicon(spark, str(tmp_path / "l.tsv"))
+    assert readers.lexicon(spark, str(tmp_path / "l.tsv"), required=False).count() == 0
+
+
+def test_nested_results(spark):
+    item = '[[[1,2],[3,2],[3,4],[1,4]],["ab",0.5]]'
+    rows = spark.createDataFrame([(f"[{item},{item}]",), (f"[[{item}]]",), ("[[[1,2]],3]",), ("none",), (None,)], "r string")
+    found = [[(e.box[0], e.text, e.confidence) for e in r.x] for r in rows.select(readers.nested_result(F.col("r")).alias("x")).collect()]
+    assert found == [[([1.0, 2.0], "ab", 0.5)] * 2, [([1.0, 2.0], "ab", 0.5)], [], [], []]

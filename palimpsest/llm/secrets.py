@@ -193,7 +193,8 @@ def thresholds(rows: DataFrame) -> list[float]:
     In each class the largest p with p x candidates <= FALSE_SHARE x (candidates with at
     most p), on the grid; infinite if there is none.
     """
-    found = rows.select(F.explode("scan_more").alias("x")).select(_class(F.col("x.span.end") - F.col("x.span.start")).alias("c"), F.least(F.floor(F.col("x.surprise") / GRID), F.lit(CELLS)).cast("int").alias("cell"))
+    # A plain explode() would first filter by the array's size, and so work it out more than once.
+    found = rows.select(F.explode_outer("scan_more").alias("x")).filter("x is not null").select(_class(F.col("x.span.end") - F.col("x.span.start")).alias("c"), F.least(F.floor(F.col("x.surprise") / GRID), F.lit(CELLS)).cast("int").alias("cell"))
     counts = {(r["c"], r["cell"]): r["n"] for r in found.groupBy("c", "cell").agg(F.count("*").alias("n")).collect()}  # at most classes x cells rows
     out = []
     for c in range(len(LENGTHS)):

@@ -20,9 +20,27 @@ from pyspark.sql import types as T
 from palimpsest.functions.text import Script
 
 
+#: Texts up to this length are matched by substring searches, which are dearer than difflib's index for long ones.
+SHORT = 24
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in matches: the longest common substring, the first in ``a`` and then in ``b``, and the same on both sides of it."""
+    for n in range(min(len(a), len(b)), 0, -1):
+        for i in range(len(a) - n + 1):
+            j = b.find(a[i : i + n])
+            if j >= 0:
+                return n + _matched(a[:i], b[:j]) + _matched(a[i + n :], b[j + n :])
+    return 0
+
+
 @lru_cache(maxsize=1 << 16)
 def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    if not a or not b:
+        return 0.0
+    if max(len(a), len(b)) <= SHORT:
+        return 2.0 * _matched(a, b) / (len(a) + len(b))
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def best_window(observed: str, entry: str) -> tuple[float, str]:

@@ -28,9 +28,13 @@ def _attainable(a, b):
 
 
 def dealt(rows: DataFrame, by: str) -> DataFrame:
-    """Rows dealt to as many tasks as a shuffle makes, or there are cores: few rows, much work on each."""
+    """Rows dealt to as many tasks as a shuffle makes, or there are cores: few rows, much work on each.
+
+    By a hash of ``by``: where rows come from a shuffle by the column itself, the planner would keep
+    that one instead, and adaptive execution make few tasks of its few bytes.
+    """
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), by)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(by))
 
 
 def against(seen: DataFrame, known: DataFrame, condition: Column, rows: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -89,6 +90,21 @@ def test_no_score_is_over_its_bound(observed, entry):
     assert fuzzy.token_score(observed, entry, vowels)[0] <= fuzzy.attainable(observed, entry, vowels) + 1e-4
 
 
+@given(st.text("abc", max_size=30), st.text("abc", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_ratio_equals_difflib(a, b):
+    assert fuzzy.ratio(a, b) == (SequenceMatcher(None, a, b).ratio() if a and b else 0.0)
+
+
+@given(st.text("abcd", min_size=1, max_size=20), st.text("abcd", max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_best_window_is_the_first_of_the_best(observed, entry):
+    n = max(2, len(entry) + 2)
+    windows = [observed] if len(observed) <= n else [observed[i : i + n] for i in range(len(observed) - n + 1)]
+    best = max(fuzzy.ratio(w, entry) for w in windows)
+    assert fuzzy.best_window(observed, entry) == (best, next(w for w in windows if fuzzy.ratio(w, entry) == best))
+
+
 def test_ratio_is_not_symmetric():
     assert fuzzy.ratio("tide", "diet") == 0.25 and fuzzy.ratio("diet", "tide") == 0.5 and fuzzy.ratio("", "a") == 0.0
 

@@ -189,6 +189,12 @@ def test_candidates_and_choice(spark):
     assert [r.token for r in matching.exact_hits(chosen, lexicon(spark)).select("token").distinct().orderBy("token").collect()] == ["dog", "quick"]
 
 
+def test_distinct_texts_are_dealt_to_all_tasks(spark):
+    seen = spark.range(1000).select(F.col("id").cast("string").alias("observed")).distinct()
+    tasks = matching.dealt(seen, "observed").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
+
+
 def test_a_large_lexicon_is_met_in_blocks(spark, monkeypatch):
     whole = sorted(tuple(r) for r in matched(spark)[1].select("observed", "entry", "score", "rank").collect())
     monkeypatch.setattr(matching, "BROADCAST_ROWS", 2)

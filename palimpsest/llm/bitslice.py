@@ -209,8 +209,9 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
                 out.append(np.stack([np.full(len(found), query), ids[found], scores]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), np.concatenate(out, axis=1), strict=True)))
 
-    # One row, a block's slices and a chunk's queries, is a group.
-    found = spread.join(index, "block").groupBy("block", "chunk").applyInArrow(best, "query_id long, vec_id long, score long")
+    # One row, a block's slices and a chunk's queries, is a group. The planner takes ``spread`` for as small as the
+    # queries' file, though it holds them once for every block: without the hint it is collected and broadcast.
+    found = spread.join(index.hint("merge"), "block").groupBy("block", "chunk").applyInArrow(best, "query_id long, vec_id long, score long")
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

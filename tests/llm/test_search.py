@@ -74,6 +74,16 @@ def test_lengths_and_repeats(spark):
         assert [(r.vec_id, r.score) for r in bitslice.search(df, 20, 3).orderBy("rank").collect()] == [(2, 24576), (2, 12288), (1, 8192)]
 
 
+def test_queries_of_all_blocks_are_not_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(bitslice, "QUERY_CHUNK", 2)
+    rows, x = vectors(300)
+    found = bitslice.search(spark.createDataFrame(rows, KIND).repartition(3), 20, 5)
+    values = [[int(c) for c in np.floor(64 * v.astype(float))] for v in x]
+    assert got(found.collect()) == expect(range(300), values, 5, lambda a, b: sum(p * q for p, q in zip(a, b, strict=True)))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores_that_fit_no_long(spark):
     large = spark.createDataFrame([(0, [1e6, -1e6], ""), (1, [1e6, 1e6], ""), (2, [-1e6, 1e6], "")], KIND)
     assert [(r.vec_id, r.score) for r in bitslice.search(large, 20, 5).orderBy("rank").collect()] == [(1, 0), (2, -2 * 64_000_000**2)]

@@ -214,6 +214,33 @@ def test_frequent_shingles_are_bounded(spark):
     assert len(names) == 2 and np.allclose(idf, 1 + np.log(3) / np.log(100))
 
 
+def rare_passages(n=1000):
+    """Two texts that differ in passages that nine documents hold: similar enough as these weigh less than what only the two share."""
+    draw = random.Random(8)
+    some = lambda k: " ".join("".join(draw.choice("abcdefghij") for _ in range(8)) for _ in range(k))
+    own, passages = some(372), [some(48), some(48)]
+    rows = [f"{own} {p}" for p in passages] + [f"{some(150)} {passages[i % 2]} {some(150)}" for i in range(16)]
+    return rows + [some(12) for _ in range(n - len(rows))]
+
+
+def test_every_shingle_has_its_own_idf(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 1 << 9)
+    rows = rare_passages()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(7).withColumn("mark", minhash._mark())
+    counts, sets = defaultdict(int), [minhash.shingles(minhash.words(t)) for t in rows]
+    for found, _ in sets:
+        for h in found.tolist():
+            counts[h] += 1
+    assert set(counts.values()) == {1, 2, 9} and minhash.FLOOR * len(rows) > 9
+    frequent = docs.sparkSession.sparkContext.broadcast(minhash._frequent(docs, minhash._nodes(docs), len(rows)))
+    got = {bytes(r.key): np.frombuffer(r.steps, "<u2").tolist() for r in minhash._signatures(docs, frequent, len(rows)).collect()}
+    want = [np.rint((1 + np.log([len(rows) / counts[h] for h in found.tolist()]) / np.log(100)) * (1 + np.log(tf)) * minhash.STEP) for found, tf in sets]
+    assert got == {minhash._key(minhash.words(t)): w.astype(int).tolist() for t, w in zip(rows, want, strict=True)}
+    like = [minhash.similarity(*(minhash._payload(sets[k][0], w[k]) for k in (0, 1))) for w in (want, [np.full(len(w), 64) for w in want])]
+    assert like[0] >= minhash.THRESHOLD > like[1]
+    assert {r.class_id for r in minhash.classes(docs.drop("mark")).filter("doc_id < 2").collect()} == {0}
+
+
 def test_samples_estimate_weighted_similarity():
     draw, sampler = np.random.default_rng(0), minhash.Sampler()
     names = np.unique(draw.integers(0, 1 << 63, 900, dtype=np.uint64))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import bitslice, chat, minhash, tree
+from palimpsest.llm.common import give_back
 from palimpsest.llm.components import components
 
 KIND = "vec_id long, embedding array<float>, score string"
@@ -241,6 +245,40 @@ def test_every_shingle_has_its_own_idf(spark, monkeypatch):
     assert {r.class_id for r in minhash.classes(docs.drop("mark")).filter("doc_id < 2").collect()} == {0}
 
 
+def test_sums_of_equal_names():
+    draw = np.random.default_rng(5)
+    names, n = draw.integers(0, 300, 2000).astype(np.uint64) << np.uint64(50), draw.integers(1, 1 << 32, 2000).astype("<u4")
+    sums = defaultdict(int)
+    for name, k in zip(names.tolist(), n.tolist(), strict=True):
+        sums[name] += k
+    assert minhash._sums(names, n).tolist() == [sums[x] for x in names.tolist()] and max(sums.values()) > 1 << 32
+
+
+def test_python_gets_large_rows_in_small_batches_and_tests_marks_once_a_scan(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(8)], "doc_id long, text string")
+    kept = minhash.keep_one_of_each(spark, docs, "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3 and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6]
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    large = spark.range(0, 16, 1, 1).selectExpr("repeat('x', 1048576) as text").mapInArrow(size, "bytes long")
+    assert [r.bytes >> 20 for r in large.collect()] == [4, 4, 4, 4]
+
+
+def test_workers_give_memory_back():
+    def used():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    held = [bytes(20_000) for _ in range(10_000)]  # too small for maps of their own
+    held = held[::100]  # and what stays keeps the heap from shrinking
+    before = used()
+    give_back()
+    assert used() < before - 100 and len(held) == 100
+
+
 def test_samples_estimate_weighted_similarity():
     draw, sampler = np.random.default_rng(0), minhash.Sampler()
     names = np.unique(draw.integers(0, 1 << 63, 900, dtype=np.uint64))

@@ -186,6 +186,12 @@ def test_numbered_has_no_gaps(spark):
     assert all(r.position == r.k + 1 for r in rows)
 
 
+def test_numbered_counts_the_ranges_that_it_numbers(spark):
+    held = spark.range(20000).select((F.col("id") * 7 % 20000).alias("k"), F.col("id").cast("string").alias("other")).repartition(5)
+    rows = tokens.numbered(held, ["k"], parts=3).collect()
+    assert len(rows) == 20000 and all(r.position == r.k + 1 for r in rows)
+
+
 def test_candidates_and_choice(spark):
     chosen, found = matched(spark)
     ranks = {(r.observed, r.entry): (r.rank, r.score) for r in found.collect()}

@@ -59,7 +59,7 @@ def _ranked(seen: DataFrame, known: DataFrame, script: Script, least: float, per
         for part in parts:
             spans, units, bare = (part[c].tolist() for c in ("span", "n_units", "skeleton"))
             found: dict[int, list] = {}
-            for i, j, _ in bounds.pairs(spans, least, spans=True):
+            for i, j, *_ in bounds.parts(spans, least, spans=True):
                 entry, skeleton, entry_units, *_ = shared.value[j]
                 score = span_score(spans[i], bare[i], units[i], entry, skeleton, entry_units)
                 if score >= least:

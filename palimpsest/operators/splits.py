@@ -39,7 +39,7 @@ def span_options(tokens: list[str], lexicon: list[Entry], bounds: Bounds, least:
     ends = lambda t, i: range(i + 2, min(len(t), i + reach) + 1)
     texts = list({t[i:j]: None for t in tokens for i in range(len(t)) for j in ends(t, i)})
     hits: dict[str, list[tuple[int, float]]] = {}
-    for i, n, _ in bounds.pairs(texts, least):
+    for i, n, *_ in bounds.parts(texts, least):
         score = token_score(texts[i], lexicon[n].normalized, bounds.dependent)[0]
         if score >= least:
             hits.setdefault(texts[i], []).append((n, score))

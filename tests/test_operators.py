@@ -322,6 +322,14 @@ def test_best_entries_equal_all_scores():
         assert sorted(got) == sorted((i, j, rank, -s) for i, found in enumerate(scores) for rank, (s, j) in enumerate(found[:most], 1))
 
 
+def test_order_bounds_pairs_of_the_same_letters(monkeypatch):
+    rule, calls, score = re.compile("[aeiou]+"), [], fuzzy.token_score
+    monkeypatch.setattr(fuzzy, "token_score", lambda *x: calls.append(x[:2]) or score(*x))
+    words, texts = ["listen", "stream", "note"], ["netsil", "maerts", "streams", "netlisten"]
+    found = sorted((texts[i], words[j]) for i, j, *_ in fuzzy.best_entries(texts, words, fuzzy.Bounds(words, rule), 0.58, 3))
+    assert found == [("netlisten", "listen"), ("streams", "stream")] and len(calls) <= 3
+
+
 def test_gestalt_queries_take_all_tokens_of_documents(spark, sf_dir):
     from palimpsest.plans import queries
 

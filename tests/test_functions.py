@@ -132,3 +132,14 @@ def test_transliteration_round_trip(word):
 
 def test_iast():
     assert syllables.romanised("संस्कृतम्", 1) == "saṃskṛtam"
+
+
+def test_scores_as_text_equal_confidences(spark):
+    rows = spark.createDataFrame([(x,) for x in (0.0, 0.004, 0.005, 0.3001, -0.25, 0.999, 1.0, 1.5, 85.0, 1e-7, 1e9, float("nan"), float("inf"), None)], "x double")
+    assert all(a == b for a, b in rows.select(text.score_text(F.col("x")), text.numeric_confidence(F.col("x"))).collect())
+
+
+def test_only_texts_that_may_change_are_composed(spark):
+    rows = spark.createDataFrame([("caf\u0065\u0301 x",), ("caf\u00e9 y",), ("plain",), (None,)], "t string")
+    told = rows.select(text.normalize_token(F.col("t"), text.LATIN), F.col("t").rlike(text.MAY_COMPOSE)).collect()
+    assert [tuple(r) for r in told] == [("cafx", True), ("cafy", False), ("plain", False), (None, None)]
